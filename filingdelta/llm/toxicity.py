@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
-Categories are predicted one after another. Each has a linear model over the presence of informative words and over
-the probabilities of the categories before it. While training, those probabilities come from out-of-fold models, so a
+Categories are predicted one after another. Each has a linear model over the presence of informative words and word
+beginnings and over the probabilities of the categories before it. While training, those probabilities come from out-of-fold models, so a
 later model sees them as inaccurate as they will be on new documents.
 """
 
@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 from filingdelta.llm.common import map_columns, share
 
 WORD = re.compile(r"[^\W\d_]+")
+BEGINNINGS = (3, 4, 5, 6)
+
+
+def features_of(word: str) -> list[str]:
+    """The word and its beginnings, which are marked by a star."""
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k)]
+
+
+def distinct(text: bytes | None) -> set[str]:
+    return set(WORD.findall(text.decode("utf-8", "replace").lower())) if text else set()
 
 
 def default_categories() -> list[tuple[str, Column]]:
@@ -24,7 +34,7 @@ def default_categories() -> list[tuple[str, Column]]:
     return [("poor", F.col("quality") == 0), ("toxic", F.col("toxic") == 1)]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 40) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by Newton steps; the intercept is not penalised. One class only: a constant."""
     n, d = x.shape
     share = (y.sum() + 0.5) / (n + 1.0)
@@ -80,11 +90,11 @@ def train_chain(x: np.ndarray, ys: list[np.ndarray], fold: np.ndarray, names: li
     return Chain(names, words, models)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]] | None = None, max_labelled: int = 8_000, max_words: int = 200, min_docs: int = 5, folds: int = 5) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]] | None = None, max_labelled: int = 10_000, max_words: int = 300, min_docs: int = 5, folds: int = 5) -> Chain:
     """Train on the labelled documents.
 
     max_labelled bounds the labelled rows that are used, those whose hashed doc_id falls below the share that meets it;
-    max_words bounds the words a category may choose, by the size of the z statistic between its two classes, which must
+    max_words bounds the words and word beginnings a category may choose, by the size of the z statistic between its two classes, which must
     be at least 4. Labels with a null doc_id or flag and labels without a document are left out; of several labels of one
     document a set flag wins; of several documents of one label each counts. Folds are by hash of doc_id."""
     categories = categories or default_categories()
@@ -97,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
 
     def distinct_words():
         def body(*columns):
-            found = [sorted(set(WORD.findall(t.decode("utf-8", "replace").lower()))) if t else [] for t in columns[1]]
+            found = [sorted({f for w in distinct(t) for f in features_of(w)}) for t in columns[1]]
             return [columns[0], found, *columns[2:]]
 
         return body
@@ -134,13 +144,17 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
 
     def maker():
         own = shared.value
-        known = own.index.keys()
+        memo: dict[str, tuple[int, ...]] = {}
 
         def body(ids, texts):
             maps, scores, flags = [], [], []
             for t in texts:
-                present = [own.index[w] for w in known & set(WORD.findall(t.decode("utf-8", "replace").lower()))] if t else []
-                p = own.probabilities(sorted(present))
+                words = distinct(t)
+                if len(memo) > 500_000:
+                    memo.clear()
+                for w in words - memo.keys():
+                    memo[w] = tuple(own.index[f] for f in features_of(w) if f in own.index)
+                p = own.probabilities(sorted({i for w in words if memo[w] for i in memo[w]}))
                 maps.append(list(zip(own.names, p, strict=True)))
                 scores.append(p[-1])
                 flags.append(p[-1] >= threshold)

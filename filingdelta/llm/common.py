@@ -81,19 +81,30 @@ def unpack(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label being the component's smallest node.
 
-    Each round takes the smallest label among a node's neighbours and then jumps along labels, so chains halve; the
-    number of rounds is logarithmic in practice. Every round is cut by checkpoint(), never kept on one executor alone.
-    Only nodes that have an edge appear. Raises RuntimeError if max_rounds do not suffice."""
-    spark = edges.sparkSession
-    work_folder(spark)
-    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")).checkpoint()
+    Each round joins every node to its smallest neighbour, follows those steps twice, and contracts the edges, of which
+    only those between different nodes go on; so a dense group is gone after one round and a chain shrinks by a factor.
+    Every round is cut by checkpoint(), never kept on one executor alone. Only nodes that have an edge to another one
+    appear. Raises RuntimeError if max_rounds do not suffice."""
+    work_folder(edges.sparkSession)
+    left = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct().checkpoint()
+    rounds = []
     for _ in range(max_rounds):
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("n")).agg(F.min("label").alias("m"))
-        lower = labels.join(near, F.col("node") == F.col("n")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("low"))
-        roots = labels.select(F.col("node").alias("r"), F.col("label").alias("up"))
-        after = lower.join(roots, F.col("low") == F.col("r")).select("node", "was", F.least("low", "up").alias("label")).checkpoint()
-        labels = after.select("node", "label")
-        if after.filter("label <> was").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+        both = left.select(F.col("a").alias("node"), F.col("a").alias("low")).union(left.select(F.col("b"), F.col("a")))
+        up = both.groupBy("node").agg(F.min("low").alias("root")).checkpoint()
+        for _ in range(2):
+            top = up.select(F.col("node").alias("n"), F.col("root").alias("top"))
+            up = up.join(top, F.col("root") == F.col("n")).select("node", F.col("top").alias("root"))
+        up = up.checkpoint()
+        rounds.append(up)
+        first = left.join(up.select("node", F.col("root").alias("ra")), F.col("a") == F.col("node")).select("ra", "b")
+        second = first.join(up.select("node", F.col("root").alias("rb")), F.col("b") == F.col("node")).filter("ra <> rb")
+        left = second.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct().checkpoint()
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    label = rounds[0].withColumnRenamed("root", "label")
+    for up in rounds[1:]:
+        step = up.select(F.col("node").alias("n"), "root")
+        label = label.join(step, F.col("label") == F.col("n"), "left").select("node", F.coalesce("root", "label").alias("label"))
+    return label.checkpoint()

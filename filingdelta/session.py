@@ -18,7 +18,10 @@ def get_session(app: str = "filingdelta", shuffle_partitions: int | None = None)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for a context, so that Python workers can import it wherever they run."""
+    """Send this package to the executors, once for a context, so that Python workers can import it wherever they run. Arrow
+    batches are kept small, as texts are long: both sides hold a batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     context = spark.sparkContext
     if getattr(context, "_filingdelta_shipped", False):
         return

@@ -46,13 +46,23 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Objects of this worker that hold tables made for one operator; another operator's task frees them.
+HOLDERS: list = []
+
+
+def free_tables(but=None) -> None:
+    for holder in [h for h in HOLDERS if h is not but]:
+        holder.free()
+        HOLDERS.remove(holder)
+
+
 def share(spark: SparkSession, value):
     """Broadcast a Python value of bounded size to the workers."""
     ship(spark)
     return spark.sparkContext.broadcast(value)
 
 
-def map_columns(df: DataFrame, fn: Callable[..., Iterator[tuple]] | Callable, schema: T.StructType | str) -> DataFrame:
+def map_columns(df: DataFrame, fn: Callable[..., Iterator[tuple]] | Callable, schema: T.StructType | str, keep_tables: bool = False) -> DataFrame:
     """Run fn over Arrow batches. fn() is called once a task and returns a function of the batch's columns, as lists
     (strings as UTF-8 bytes, which costs no decoding), that returns the output's columns as lists."""
     ship(df.sparkSession)
@@ -60,6 +70,8 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterator[tuple]] | Callable, sc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(spark_schema)
+        if not keep_tables:
+            free_tables()
         body = fn()
         for batch in batches:
             columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in batch.columns]

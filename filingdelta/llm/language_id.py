@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingdelta.llm.common import map_columns, share, unpack, whole_row
+from filingdelta.llm.common import free_tables, map_columns, share, unpack, whole_row
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -35,47 +35,50 @@ def held_out(doc_id: str = "doc_id"):
 
 
 class Model:
-    """Tables of log frequencies: a row of one value per language for each known word and n-gram."""
+    """Log frequencies: a row of one value per language for each known word, and for each known n-gram, by its length less
+    one. Rows are found by dictionary and summed by array."""
 
-    def __init__(self, langs: list[str], words: dict[str, list[float]], grams: list[dict[str, list[float]]]):
+    def __init__(self, langs: list[str], words: tuple[list[str], np.ndarray], grams: list[tuple[list[str], np.ndarray]]):
         self.langs = langs
-        self.index = {w: i for i, w in enumerate(words)}
-        self.table = np.array(list(words.values()), dtype=np.float64).reshape(len(words), len(langs))
-        self.grams = [{g: np.array(v) for g, v in level.items()} for level in grams]
-
-    def unseen(self, word: str) -> np.ndarray:
+        self.index = {w: i for i, w in enumerate(words[0])}
+        self.table = np.asarray(words[1], dtype=np.float64).reshape(len(words[0]), len(langs))
+        self.grams: list[dict[str, int]] = []
+        at = 0
+        for names, _ in grams:
+            self.grams.append({g: at + i for i, g in enumerate(names)})
+            at += len(names)
+        self.gram_table = np.concatenate([np.asarray(rows, dtype=np.float64).reshape(len(names), len(langs)) for names, rows in grams])
+
+    def unseen(self, word: str) -> list[int]:
+        """Rows of the word's n-grams of the longest length of which one is known."""
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in grams_of(word, n) if (r := self.grams[n - 1].get(g)) is not None]
+            known = self.grams[n - 1]
+            if rows := [known[g] for g in grams_of(word, n) if g in known]:
+                return rows
+        return []
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """The summed log frequency of words in each language; an unseen word counts as the mean of its n-grams."""
+        found = list(map(self.index.get, words))
+        total = np.zeros(len(self.langs))
+        if None in found:
+            rows: list[int] = []
+            weights: list[float] = []
+            for w, i in zip(words, found, strict=True):
+                if i is None and (own := self.unseen(w)):
+                    rows += own
+                    weights += [1 / len(own)] * len(own)
+            found = [i for i in found if i is not None]
             if rows:
-                return np.mean(rows, axis=0)
-        return np.zeros(len(self.langs))
-
-    def scorer(self, memo_size: int = 200_000):
-        memo: dict[str, np.ndarray] = {}
-
-        def score(words: list[str]) -> np.ndarray:
-            found = list(map(self.index.get, words))
-            rows = [i for i in found if i is not None]
-            total = self.table[rows].sum(axis=0) if rows else np.zeros(len(self.langs))
-            if len(rows) < len(words):
-                for w, i in zip(words, found, strict=True):
-                    if i is None:
-                        if (r := memo.get(w)) is None:
-                            if len(memo) >= memo_size:
-                                memo.clear()
-                            r = memo[w] = self.unseen(w)
-                        total = total + r
-            return total
+                total += np.array(weights) @ self.gram_table[rows]
+        return total + self.table[found].sum(axis=0) if found else total
 
-        return score
 
+def log_rows(names: list[str], counts: np.ndarray, totals: np.ndarray, prior: float = 0.5) -> tuple[list[str], np.ndarray]:
+    return names, np.log((counts + prior) / (totals + prior * (len(names) + 1)))
 
-def log_rows(counts: dict[str, dict[str, int]], langs: list[str], totals: dict[str, int], prior: float) -> dict[str, list[float]]:
-    size = len(counts) + 1
-    return {t: [math.log((c.get(lang, 0) + prior) / (totals[lang] + prior * size)) for lang in langs] for t, c in counts.items()}
 
-
-def fit(labelled: DataFrame, docs_per_lang: int = 10_000, max_words: int = 200_000, max_grams: int = 200_000) -> Model:
+def fit(labelled: DataFrame, docs_per_lang: int = 4_000, max_words: int = 200_000, max_grams: int = 100_000) -> Model:
     """Learn from rows (doc_id, text, lang) with a lang.
 
     docs_per_lang bounds the labelled rows that are read for a language (those whose hashed doc_id falls below the
@@ -85,7 +88,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = 10_000, max_words: int = 200_0
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], {}, [{} for _ in range(LONGEST)])
+        return Model([], ([], np.zeros((0, 0))), [([], np.zeros((0, 0)))] * LONGEST)
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
     drawn = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -113,20 +116,18 @@ def fit(labelled: DataFrame, docs_per_lang: int = 10_000, max_words: int = 200_0
     per_word = map_columns(drawn.select("text", "lang"), count_words, "lang string, token string, n long").groupBy("lang", "token").agg(F.sum("n").alias("n")).checkpoint()
     per_gram = map_columns(per_word, count_grams, "lang string, size int, token string, n long").groupBy("lang", "size", "token").agg(F.sum("n").alias("n")).checkpoint()
 
-    def top(table: DataFrame, keys: list[str], limit: int) -> list:
-        pairs = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        return table.groupBy(*keys).agg(F.sum("n").alias("total"), pairs.alias("by")).orderBy(F.desc("total"), "token").limit(limit).collect()
+    by_lang = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(langs)]
+
+    def top(rows: DataFrame, limit: int) -> tuple[list[str], np.ndarray]:
+        found = rows.groupBy("token").agg(F.sum("n").alias("total"), *by_lang).orderBy(F.desc("total"), "token").limit(limit).toArrow()
+        counts = [found.column(f"n{k}").to_numpy() for k in range(len(langs))]
+        return found.column("token").to_pylist(), np.stack(counts, axis=1).astype(np.float64)
+
+    def totals(rows: DataFrame) -> np.ndarray:
+        return np.array([x or 0 for x in rows.agg(*by_lang).first()], dtype=np.float64)
 
-    totals = {r["lang"]: r["n"] for r in per_word.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    totals = {lang: totals.get(lang, 0) for lang in langs}
-    words = {r["token"]: r["by"] for r in top(per_word, ["token"], max_words)}
-    gram_totals: dict[int, dict[str, int]] = {n: dict.fromkeys(langs, 0) for n in range(1, LONGEST + 1)}
-    for r in per_gram.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
-        gram_totals[r["size"]][r["lang"]] = r["n"]
-    levels: list[dict] = [{} for _ in range(LONGEST)]
-    for r in top(per_gram, ["size", "token"], max_grams):
-        levels[r["size"] - 1][r["token"]] = r["by"]
-    return Model(langs, log_rows(words, langs, totals, 0.5), [log_rows(level, langs, gram_totals[n + 1], 0.5) for n, level in enumerate(levels)])
+    levels = [per_gram.filter(F.col("size") == n) for n in range(1, LONGEST + 1)]
+    return Model(langs, log_rows(*top(per_word, max_words), totals(per_word)), [log_rows(*top(level, max_grams // LONGEST), totals(level)) for level in levels])
 
 
 def language_of(model: Model, spark: SparkSession):
@@ -135,8 +136,8 @@ def language_of(model: Model, spark: SparkSession):
 
     @F.pandas_udf("lang_pred string, score double")
     def told(texts: pd.Series) -> pd.DataFrame:
+        free_tables()
         own = shared.value
-        score = own.scorer()
         names, shares = [], []
         for text in texts:
             words = WORD.findall(text.lower()) if text else []
@@ -144,7 +145,7 @@ def language_of(model: Model, spark: SparkSession):
                 names.append("und")
                 shares.append(0.0)
                 continue
-            total = score(words) / math.sqrt(len(words))
+            total = own.score(words) / math.sqrt(len(words))
             best = int(np.argmax(total))
             names.append(own.langs[best])
             shares.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))

@@ -37,9 +37,9 @@ def test_language_ignores_held_out_and_names(spark):
 
 
 def test_backoff():
-    model = language_id.Model(["a", "b"], {"known": [-1.0, -2.0]}, [{"z": [-3.0, -1.0]}, {}, {}, {" abc"[:4]: [-1.0, -5.0]}])
-    assert model.scorer()(["known"]).tolist() == [-1.0, -2.0]
-    assert model.unseen("abc").tolist() == [-1.0, -5.0] and model.unseen("zz").tolist() == [-3.0, -1.0] and model.unseen("q").tolist() == [0.0, 0.0]
+    model = language_id.Model(["a", "b"], (["known"], [[-1.0, -2.0]]), [(["z"], [[-3.0, -1.0]]), ([], []), ([], []), ([" abc"], [[-1.0, -5.0]])])
+    assert model.score(["known"]).tolist() == [-1.0, -2.0] and model.score(["known", "zz", "abc", "q"]).tolist() == [-5.0, -8.0]
+    assert model.unseen("abc") == [1] and model.unseen("zz") == [0, 0] and model.unseen("q") == []
 
 
 def test_language_odd(spark, odd, empty):

@@ -152,9 +152,13 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
                 words = distinct(t)
                 if len(memo) > 500_000:
                     memo.clear()
-                for w in words - memo.keys():
-                    memo[w] = tuple(own.index[f] for f in features_of(w) if f in own.index)
-                p = own.probabilities(sorted({i for w in words if memo[w] for i in memo[w]}))
+                present: set[int] = set()
+                for w in words:
+                    at = memo.get(w)
+                    if at is None:
+                        at = memo[w] = tuple(own.index[f] for f in features_of(w) if f in own.index)
+                    present.update(at)
+                p = own.probabilities(sorted(present))
                 maps.append(list(zip(own.names, p, strict=True)))
                 scores.append(p[-1])
                 flags.append(p[-1] >= threshold)

@@ -373,3 +373,12 @@ def test_viterbi(spark):
 
 def test_encode_empty(spark, empty):
     assert sentencepiece_lattice.encode(empty, MODEL).count() == 0
+
+
+def test_encoding_noncharacters(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = [(1, "one ￾ two"), (2, "three ￿ four"), (3, "￾"), (4, "plain words"), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for size in (1_000, 1):
+        found = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in sentencepiece_lattice.encode(docs, MODEL, dictionary_size=size).collect()}
+        assert found == {i: sp.encode(t) if t else [] for i, t in rows}

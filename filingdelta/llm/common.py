@@ -93,8 +93,9 @@ def unpack(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label being the component's smallest node.
 
-    Each round joins every node to its smallest neighbour, follows those steps twice, and contracts the edges, of which
-    only those between different nodes go on; so a dense group is gone after one round and a chain shrinks by a factor.
+    Each round points every node to its smallest neighbour. Those pointers run in no cycle but of two nodes, whose smaller
+    one becomes a root; pointer jumping then takes every node to its root, and the edges are contracted, of which only those
+    between different nodes go on. A tree has two nodes at least, so a round leaves at most half of the nodes.
     Every round is cut by checkpoint(), never kept on one executor alone. Only nodes that have an edge to another one
     appear. Raises RuntimeError if max_rounds do not suffice."""
     work_folder(edges.sparkSession)
@@ -103,10 +104,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = left.select(F.col("a").alias("node"), F.col("a").alias("low")).union(left.select(F.col("b"), F.col("a")))
         up = both.groupBy("node").agg(F.min("low").alias("root")).checkpoint()
-        for _ in range(2):
+        first = True
+        while True:
             top = up.select(F.col("node").alias("n"), F.col("root").alias("top"))
-            up = up.join(top, F.col("root") == F.col("n")).select("node", F.col("top").alias("root"))
-        up = up.checkpoint()
+            here = F.when((F.col("top") == F.col("node")) & (F.col("node") < F.col("root")), F.col("node")).otherwise(F.col("root")) if first else F.col("top")
+            up = up.join(top, F.col("root") == F.col("n")).select("node", here.alias("root"), (F.lit(first) | (F.col("top") != F.col("root"))).alias("moved")).checkpoint()
+            if up.filter("moved").isEmpty():
+                break
+            up, first = up.select("node", "root"), False
+        up = up.select("node", "root")
         rounds.append(up)
         first = left.join(up.select("node", F.col("root").alias("ra")), F.col("a") == F.col("node")).select("ra", "b")
         second = first.join(up.select("node", F.col("root").alias("rb")), F.col("b") == F.col("node")).filter("ra <> rb")

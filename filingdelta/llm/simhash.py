@@ -29,18 +29,36 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(s) for s in zip(*[words[i:] for i in range(k)], strict=False)]
 
 
-def fingerprint(text: bytes | None, k: int) -> int:
-    """Signed 64-bit SimHash of the XXH64 (seed 42) of the shingles: a bit is set if over half of the hashes have it."""
+def wide_fingerprint(text: bytes | None, k: int, longs: int) -> list[int]:
+    """SimHash of 64 * longs bits, as signed longs: a bit is set if over half of the shingles' hashes have it.
+
+    The first long is of the shingles' XXH64 (seed 42); each further one of a bijective mix of it."""
     items = shingles(text.translate(ASCII_LOWER).split(), k) if text else []
     if not items:
-        return 0
-    counts = np.zeros(BITS, dtype=np.int64)
+        return [0] * longs
+    counts = np.zeros(BITS * longs, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(items), 65_536):
         part = items[at : at + 65_536]
-        hashes = np.fromiter((digest(s, 42) for s in part), dtype=np.uint64, count=len(part))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(items), bitorder="little").view(np.int64)[0])
+        hashes = np.empty((len(part), longs), dtype=np.uint64)
+        hashes[:, 0] = np.fromiter((digest(s, 42) for s in part), dtype=np.uint64, count=len(part))
+        for n in range(1, longs):
+            hashes[:, n] = mixed(hashes[:, 0], n)
+        counts += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(items), bitorder="little").view(np.int64).tolist()
+
+
+def mixed(h: np.ndarray, n: int) -> np.ndarray:
+    """The finalizer of splitmix64 at the n-th step from h."""
+    z = h + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def fingerprint(text: bytes | None, k: int) -> int:
+    """Signed 64-bit SimHash of the XXH64 (seed 42) of the shingles: a bit is set if over half of the hashes have it."""
+    return wide_fingerprint(text, k, 1)[0]
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
@@ -121,7 +139,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, segments:
     read."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
-    label = components(links(nodes.select("fp"), radius, segments, bucket_limit))
+    return named(rows, nodes, components(links(nodes.select("fp"), radius, segments, bucket_limit)))
+
+
+def named(rows: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (doc_id, fp, component_id) from the documents' rows, the distinct fingerprints and the components of their links."""
     shared = nodes.join(label, F.col("fp") == F.col("node"), "left").filter("node is not null or n > 1")
     shared = shared.select("fp", "low", F.coalesce("label", "fp").alias("root")).checkpoint()
     lowest = shared.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -130,16 +152,64 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, segments:
     return joined.select("doc_id", "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+#: Longs of a wide fingerprint. Each holds two segments of SEGMENT bits, one in each half.
+LONGS, SEGMENT = 5, 28
+
+
+def wide_links(nodes: DataFrame, radius: int, neighbours: int = 4) -> DataFrame:
+    """Edges (a, b) among nodes (fp, f1 .. f4; fp distinct) whose 320 bits differ in at most `radius`.
+
+    Ten segments of 28 bits: every fingerprint enters, for each segment, the ball of radius one around its value, so two
+    whose segment differs in up to two bits meet in a bucket. A bucket is sorted, and each member looks back at
+    `neighbours` others: all pairs of a small bucket, a chain through a crowded one, and never more rows than members
+    times neighbours. Each pair meets in several buckets, among other members. A first look at 64 bits passes pairs up to
+    radius/2 - 4 apart there, which a pair within the radius exceeds less than once in 10,000; the whole distance then decides."""
+    keys = []
+    for n in range(LONGS):
+        word = "fp" if n == 0 else f"f{n}"
+        for half in range(2):
+            value = F.shiftrightunsigned(word, 32 * half).bitwiseAND(F.lit((1 << SEGMENT) - 1))
+            tag = F.lit((2 * n + half) << SEGMENT)
+            keys += [value.bitwiseXOR(F.lit(m)).bitwiseOR(tag) for m in ball(SEGMENT, 1)]
+    entries = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    order = Window.partitionBy("key").orderBy("fp")
+    near = entries.select("fp", F.array(*[F.lag("fp", i).over(order) for i in range(1, neighbours + 1)]).alias("before"))
+    near = near.select("fp", F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius // 2 - 4).alias("before"))
+    pairs = near.select(F.explode("before").alias("a"), F.col("fp").alias("b")).distinct()
+    wide = [f"f{n}" for n in range(1, LONGS)]
+    left = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in wide])
+    right = nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in wide])
+    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in wide), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
+    return pairs.join(left, "a").join(right, "b").filter(apart <= radius).select("a", "b")
+
+
+def near_copies(docs: DataFrame, words: int = 5, radius: int = 56) -> DataFrame:
+    """Rows (doc_id, fp, component_id) as near_duplicates gives them, for links of shingle similarity.
+
+    Fingerprints of 320 bits estimate the similarity closely where 64 bits cannot: texts whose shingles have a Jaccard of
+    0.8 differ in 48 bits on average, of 0.7 in 61, of 0.6 in 74 (a standard deviation is 6 to 7). Equal first longs are one
+    node. Nulls, blank texts and repeated rows are as there."""
+    wide = ["fp", *[f"f{n}" for n in range(1, LONGS)]]
+
+    def maker():
+        return lambda ids, texts: [ids, *zip(*[wide_fingerprint(t, words, LONGS) for t in texts], strict=True)] if texts else [ids, *[[] for _ in wide]]
+
+    made = map_columns(docs.select("doc_id", "text"), maker, "doc_id long, " + ", ".join(f"{w} long" for w in wide))
+    rows = materialize(made, "wide-fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min(F.struct(*wide[1:])).alias("rest")).select("fp", "low", "n", "rest.*").checkpoint()
+    return named(rows.select("doc_id", "fp"), nodes, components(wide_links(nodes, radius)))
+
+
 def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """docs, all columns, with one row of each near-duplicate group: that of the smallest doc_id.
+def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 56) -> DataFrame:
+    """docs, all columns, with one row of each group of near_copies: that of the smallest doc_id.
 
     Rows with a null doc_id are kept, as nothing names them. Of repeated rows (equal doc_id and fingerprint) one stays.
     Decisions are by doc_id and fingerprint, so rows that share a doc_id but not a text are judged apart."""
-    found = near_duplicates(docs, words, radius)
+    found = near_copies(docs, words, radius)
     tallied = found.filter("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")).checkpoint()
     gone = tallied.filter("doc_id <> component_id").select(F.col("doc_id").alias("_i"), F.col("fp").alias("_f"))
 

@@ -19,7 +19,7 @@ def test_stages(spark, sf, tmp_path):
     ids = {n: [{r["doc_id"] for r in df.select("doc_id").collect()} for df in pair] for n, pair in seen.items()}
     assert ids["line_dedup"][0] == ids["line_dedup"][1]
     given, kept = seen["near_dedup"]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(given, words=5).collect()}
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(given, words=5).collect()}
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in groups.items() if i == c}
     given, kept = seen["decontamination"]
     leaked = {r["doc_id"] for r in decontamination.find_leaks(given, spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}

@@ -75,6 +75,54 @@ def test_odd_rows(spark, odd, empty):
     assert simhash.drop_near_duplicates(odd.filter("doc_id < 7")).select("doc_id").orderBy("doc_id").collect() == [(1,), (4,), (5,)]
 
 
+def similar(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(5_000)]
+    texts, clean = [], 30
+    for _ in range(clean):
+        texts.append([rng.choice(vocabulary) for _ in range(rng.randint(150, 400))])
+    for i in range(60):
+        copy = list(texts[i % 15])
+        for at in rng.sample(range(len(copy)), max(1, len(copy) * (i % 4) // 100)):
+            copy[at] = rng.choice(vocabulary)
+        texts.append(copy)
+    for i in range(15, 30):  # half of another document: not a near copy
+        texts.append(texts[i][: len(texts[i]) // 2] + [rng.choice(vocabulary) for _ in range(len(texts[i]) // 2)])
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if similar(sets[i], sets[j]) >= 0.8]
+    assert len(want) > 60 and sum(found[i] == found[j] for i, j in want) >= 0.97 * len(want)
+    group = {}
+    for i, c in found.items():
+        group.setdefault(c, []).append(i)
+    for members in group.values():  # nothing joins a group without a near relation in it
+        assert all(any(similar(sets[i], sets[j]) >= 0.55 for j in members if j != i) for i in members if len(members) > 1)
+    assert all(found[i] == i for i in range(90, 105))
+    prints = {i: simhash.wide_fingerprint(" ".join(w).encode(), 5, 5) for i, w in enumerate(texts)}
+    assert all(p[0] == simhash.fingerprint(" ".join(texts[i]).encode(), 5) for i, p in prints.items())
+
+
+def test_wide_links_keep_the_radius(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40):
+        base = rng.getrandbits(320)
+        for d in (0, 5, 30, 60, 90):
+            p = base ^ sum(1 << b for b in rng.sample(range(320), d))
+            rows.append(tuple(simhash.signed(p >> 64 * n & (1 << 64) - 1) for n in range(5)))
+    rows = list({r[0]: r for r in rows}.values())
+    whole = {r[0]: sum((x & (1 << 64) - 1) << 64 * n for n, x in enumerate(r)) for r in rows}
+    found = {(r["a"], r["b"]) for r in simhash.wide_links(spark.createDataFrame(rows, "fp long, f1 long, f2 long, f3 long, f4 long"), 56).collect()}
+    assert found and all((whole[a] ^ whole[b]).bit_count() <= 56 for a, b in found)
+    near = {(a, b) for a in whole for b in whole if a < b and (whole[a] ^ whole[b]).bit_count() <= 35}
+    assert len(near) >= 80 and len(near - found) <= 0.05 * len(near)
+
+
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)

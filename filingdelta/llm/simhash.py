@@ -9,6 +9,7 @@ other exactly if some value lies within half of it of both, which costs a fixed
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingdelta.llm.common import ASCII_LOWER, components, map_columns, materialize, unpack, whole_row
+from filingdelta.llm.common import ASCII_LOWER, components, map_columns, materialize, share, unpack, whole_row
 
 BITS = 64
 
@@ -157,7 +158,8 @@ LONGS, SEGMENT = 5, 28
 
 
 def wide_links(nodes: DataFrame, radius: int, neighbours: int = 4) -> DataFrame:
-    """Edges (a, b) among nodes (fp, f1 .. f4; fp distinct) whose 320 bits differ in at most `radius`.
+    """Edges (a, b) among nodes (fp, f1 .. f4; fp distinct) whose 320 bits differ in at most `radius`, but not all of them:
+    an estimate that near_copies no longer uses.
 
     Ten segments of 28 bits: every fingerprint enters, for each segment, the ball of radius one around its value, so two
     whose segment differs in up to two bits meet in a bucket. A bucket is sorted, and each member looks back at
@@ -183,33 +185,154 @@ def wide_links(nodes: DataFrame, radius: int, neighbours: int = 4) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(apart <= radius).select("a", "b")
 
 
-def near_copies(docs: DataFrame, words: int = 5, radius: int = 56) -> DataFrame:
-    """Rows (doc_id, fp, component_id) as near_duplicates gives them, for links of shingle similarity.
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The sorted distinct XXH64 (seed 42) of the text's shingles; empty for null, empty and blank texts."""
+    items = shingles(text.translate(ASCII_LOWER).split(), k) if text else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in items), dtype=np.uint64, count=len(items)))
+
+
+def set_name(items: np.ndarray) -> int:
+    """Signed 64-bit name of a set of shingles; zero for the empty one."""
+    return signed(xxhash.xxh64_intdigest(items.tobytes(), 42)) if len(items) else 0
+
+
+def prefix(items: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of (count among the common ones, hash), as many as it cannot do without:
+    a set of at least that Jaccard similarity to it has at least ceil(similarity * size) of its shingles, so the first
+    size - ceil(similarity * size) + 1 of each hold a shared one, whatever the order is."""
+    if not len(items):
+        return items.view(np.int64)
+    rank = np.zeros(len(items), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, items), len(common) - 1)
+        rank = np.where(common[at] == items, counts[at], 0)
+    length = len(items) - math.ceil(similarity * len(items) - 1e-9) + 1
+    return items[np.lexsort((items, rank))[:length]].view(np.int64)
+
 
-    Fingerprints of 320 bits estimate the similarity closely where 64 bits cannot: texts whose shingles have a Jaccard of
-    0.8 differ in 48 bits on average, of 0.7 in 61, of 0.6 in 74 (a standard deviation is 6 to 7). Equal first longs are one
-    node. Nulls, blank texts and repeated rows are as there."""
-    wide = ["fp", *[f"f{n}" for n in range(1, LONGS)]]
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, at_most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of about `sample` documents, sorted, and their counts. They only set an order that
+    keeps what many texts share out of the prefixes; no result depends on them."""
+    part = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), 42)
 
     def maker():
-        return lambda ids, texts: [ids, *zip(*[wide_fingerprint(t, words, LONGS) for t in texts], strict=True)] if texts else [ids, *[[] for _ in wide]]
+        return lambda texts: [np.concatenate([np.empty(0, np.uint64), *[shingle_set(t, words) for t in texts]]).view(np.int64)]
+
+    found = map_columns(part, maker, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(at_most).toArrow()
+    common, counts = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    order = np.argsort(common)
+    return common[order], counts[order]
+
+
+def similarities(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per_copy: int = 256) -> DataFrame:
+    """Rows (a, b, similarity): the exact Jaccard similarity of the shingle sets of each of pairs (a, b). nodes (fp, low)
+    gives a doc_id of each. A set that many pairs ask for as a is copied, so that no task gets all of them."""
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    asked = nodes.join(asked, "fp", "left_semi").select("fp", "low").checkpoint()
+    lows = asked.select("low").distinct()
+    texts = docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+
+    def sets():
+        def body(column):
+            found = [shingle_set(t, words) for t in column]
+            return [[set_name(s) for s in found], [s.tobytes() for s in found]]
+
+        return body
+
+    made = map_columns(texts, sets, "fp long, items binary").join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).checkpoint()
+    wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
+    copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
+    dealt = pairs.join(F.broadcast(copies), F.col("a") == F.col("many"), "left")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+    first = made.join(F.broadcast(copies), F.col("fp") == F.col("many"), "left")
+    first = first.select(F.col("fp").alias("fa"), F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
+    second = made.select(F.col("fp").alias("fb"), F.col("items").alias("y"))
+    joined = dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb"))
+
+    def judge():
+        def body(a, b, x, y):
+            out = []
+            for p, q in zip(x, y, strict=True):
+                both = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
+                out.append(both / ((len(p) + len(q)) // 8 - both))
+            return [a, b, out]
+
+        return body
+
+    return map_columns(joined.select("a", "b", "x", "y"), judge, "a long, b long, similarity double").checkpoint()
+
+
+def similar_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, similarity: float, bucket_limit: int = 32) -> DataFrame:
+    """Edges (a, b) among the distinct sets of rows (fp, size, keys) whose connected components are those of all pairs of
+    a Jaccard similarity of at least `similarity`. Each edge is such a pair.
+
+    Two sets that similar share a shingle of their prefixes (keys). At the first one in order, what follows must suffice
+    for the overlap; sizes must allow it too. All pairs of a bucket that pass are compared, but a bucket of more than
+    bucket_limit sets is first compared with one of its members, its hub. Those similar to the hub are one component
+    already, so no two of them are compared; of the other pairs those are that the triangle inequality of the Jaccard
+    distance, taken at the hub, leaves."""
+    slack = 1e-9
+    whole = similarity / (1 + similarity)
+    entries = rows.select("fp", "size", "keys").dropDuplicates(["fp"]).select("fp", "size", F.posexplode("keys").alias("pos", "key"))
+    bucket = Window.partitionBy("key")
+    shared = entries.select("*", F.count("*").over(bucket).alias("n"), F.min(F.struct("pos", "fp")).over(bucket)["fp"].alias("hub"), F.min("size").over(bucket).alias("least"))
+    # not even the smallest set of the bucket could share enough of what follows
+    shared = shared.filter((F.col("n") > 1) & (F.col("size") - F.col("pos") >= whole * (F.col("size") + F.greatest("least", similarity * F.col("size"))) - slack)).checkpoint()
+
+    def may(x: str, y: str):
+        a, b, i, j = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.pos", f"{y}.pos"))
+        return (F.col(f"{x}.key") == F.col(f"{y}.key")) & (F.least(a, b) >= similarity * F.greatest(a, b) - slack) & (F.least(a - i, b - j) >= whole * (a + b) - slack)
+
+    few = shared.filter(F.col("n") <= bucket_limit)
+    pairs = few.alias("x").join(few.alias("y"), may("x", "y") & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    crowded = shared.filter(F.col("n") > bucket_limit)
+    stars = crowded.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+    found = similarities(docs, nodes, pairs.union(stars).distinct().checkpoint(), words)
+    edges = found.filter(F.col("similarity") >= similarity - slack).select("a", "b")
+    if crowded.isEmpty():
+        return edges
+    to_hub = found.select(F.col("a").alias("hub"), F.col("b").alias("fp"), (1 - F.col("similarity")).alias("far"))
+    member = crowded.filter("fp <> hub").join(to_hub, ["hub", "fp"]).select("key", "fp", "size", "pos", "far", (F.col("far") <= 1 - similarity + slack).alias("linked")).checkpoint()
+    left = member.filter(~F.col("linked")).alias("x")
+    near = (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similarity + slack) & (F.col("y.linked") | (F.col("x.fp") < F.col("y.fp")))
+    more = left.join(member.alias("y"), may("x", "y") & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().checkpoint()
+    if more.isEmpty():
+        return edges
+    return edges.union(similarities(docs, nodes, more, words).filter(F.col("similarity") >= similarity - slack).select("a", "b"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_limit: int = 32) -> DataFrame:
+    """Rows (doc_id, fp, component_id) as near_duplicates gives them, for links of shingle similarity: two texts are linked
+    exactly if the Jaccard similarity of their sets of shingles is at least `similarity`.
+
+    Shingles are told apart by 64-bit hashes, and fp is a 64-bit name of the set: equal sets are one node. Nulls, blank
+    texts and repeated rows are as there."""
+    shared = share(docs.sparkSession, common_shingles(docs, words))
 
-    made = map_columns(docs.select("doc_id", "text"), maker, "doc_id long, " + ", ".join(f"{w} long" for w in wide))
-    rows = materialize(made, "wide-fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.min(F.struct(*wide[1:])).alias("rest")).select("fp", "low", "n", "rest.*").checkpoint()
-    return named(rows.select("doc_id", "fp"), nodes, components(wide_links(nodes, radius)))
+    def maker():
+        common, counts = shared.value
+
+        def body(ids, texts):
+            sets = [shingle_set(t, words) for t in texts]
+            return [ids, [set_name(s) for s in sets], [len(s) for s in sets], [prefix(s, common, counts, similarity) for s in sets]]
+
+        return body
+
+    rows = materialize(map_columns(docs.select("doc_id", "text"), maker, "doc_id long, fp long, size int, keys array<long>"), "prefixes")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
+    return named(rows.select("doc_id", "fp"), nodes, components(similar_links(docs, rows, nodes, words, similarity, bucket_limit)))
 
 
 def hex_of(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 56) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs, all columns, with one row of each group of near_copies: that of the smallest doc_id.
 
-    Rows with a null doc_id are kept, as nothing names them. Of repeated rows (equal doc_id and fingerprint) one stays.
-    Decisions are by doc_id and fingerprint, so rows that share a doc_id but not a text are judged apart."""
-    found = near_copies(docs, words, radius)
+    Rows with a null doc_id are kept, as nothing names them. Of repeated rows (equal doc_id and set of shingles) one stays.
+    Decisions are by doc_id and set, so rows that share a doc_id but not a text are judged apart."""
+    found = near_copies(docs, words, similarity)
     tallied = found.filter("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")).checkpoint()
     gone = tallied.filter("doc_id <> component_id").select(F.col("doc_id").alias("_i"), F.col("fp").alias("_f"))
 
@@ -220,7 +343,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 56) -> D
 
     @F.pandas_udf("long")
     def again(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t.encode() if t is not None else None, words) for t in texts], dtype="int64")
+        return pd.Series([set_name(shingle_set(t.encode() if t is not None else None, words)) for t in texts], dtype="int64")
 
     packed = whole_row(docs, F.col("doc_id").alias("_k"), again(F.col("text")).alias("_p"))
     kept = packed.join(gone, (F.col("_k") == F.col("_i")) & (F.col("_p") == F.col("_f")), "left_anti")

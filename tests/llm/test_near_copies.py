@@ -59,3 +59,15 @@ def test_crowded_group_of_variants(spark, limit):
     template = drawn(rng)
     found, want = found_and_wanted(spark, [edited(rng, template, rng.randint(0, 9)) for _ in range(80)], **limit)
     assert found == want and 1 < len(set(want)) < 60
+
+
+def test_every_pair_of_the_similarity(spark):
+    """Pairs of a similarity of about 0.65 to 0.95."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(80):
+        base = drawn(rng)
+        texts += [base, edited(rng, base, 2 + i % 8)]
+    found, want = found_and_wanted(spark, texts)
+    assert not [i for i, c in enumerate(want) if c != i and found[i] == i]
+    assert 20 < sum(i != c for i, c in enumerate(want)) < 75

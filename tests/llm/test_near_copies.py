@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from filingdelta.llm import simhash
@@ -71,3 +72,23 @@ def test_every_pair_of_the_similarity(spark):
     found, want = found_and_wanted(spark, texts)
     assert not [i for i, c in enumerate(want) if c != i and found[i] == i]
     assert 20 < sum(i != c for i, c in enumerate(want)) < 75
+
+
+def test_no_pair_below_the_similarity(spark):
+    """Pairs a little below 0.8 are no copies."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(80):
+        base = drawn(rng)
+        texts += [base, edited(rng, base, 5 + i % 3)]
+    found, want = found_and_wanted(spark, texts)
+    assert not [i for i, c in enumerate(found) if c != i and want[i] == i]
+    assert sum(i == c for i, c in enumerate(want)) > 100
+
+
+def test_stage_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    want = brute(shingle_sets([t for _, t in rows]))
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
+    assert kept == {rows[c][0] for c in want}

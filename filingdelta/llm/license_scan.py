@@ -1,8 +1,9 @@
 """Licence scan with a positional index of rare words.
 
-A file is looked up by its licence words of the highest inverse document frequency. Their postings (template, offset)
-are intersected by relative position: occurrences that put a template at the same start support each other. A template
-counts if enough of it stands at that start and its mandatory phrases stand there too.
+A notice is posted under its words of the highest inverse document frequency, and a file is looked up by all posted words
+that are in it. Their postings (template, offset) are intersected by relative position: occurrences that put a template at
+the same start support each other. A template counts if enough of it stands at that start and its mandatory phrases stand
+there too.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ class Index:
             self.anchors.setdefault(w, []).append((k, words.index(w)))
         self.known = frozenset(self.postings) | frozenset(self.anchors)
 
-    def scan(self, text: bytes | None, top: int, coverage: float, slack: int):
+    def scan(self, text: bytes | None, coverage: float, slack: int):
         words = words_of(text)
         base: list[tuple[int, str]] = []
         labels: dict[str, float] = {}
@@ -111,9 +112,9 @@ class Index:
                             base.append((p - q, label))
                             spans.append((label, p - q, p - q + len(phrase)))
             votes: Counter = Counter()
-            for w in sorted((w for w in places if w in self.postings), key=lambda w: (-self.idf[w], w))[:top]:
-                for t, q in self.postings[w]:
-                    for p in places[w]:
+            for w, found in places.items():
+                for t, q in self.postings.get(w, ()):
+                    for p in found:
                         votes[t, p - q] += 1
             for (t, start), n in votes.items():
                 label, notice, must = self.notices[t]
@@ -126,12 +127,12 @@ class Index:
         return len(words), base, labels, spans
 
 
-def scan(docs: DataFrame, top: int = 12, coverage: float = 0.7, slack: int = 4, rare: int = 6, notices: list | None = None) -> DataFrame:
+def scan(docs: DataFrame, coverage: float = 0.7, slack: int = 4, rare: int = 6, notices: list | None = None) -> DataFrame:
     """Rows (doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans), one per row of docs.
 
-    Inverse document frequencies count every document. Each file is looked up by its `top` words of the highest IDF;
-    a notice needs two of them at one relative position, `coverage` of its words there and every mandatory phrase within
-    `slack` words. The base phrases are anchored at their rarest word, all of whose places are looked up, so every base
+    Inverse document frequencies count every document. Each notice is posted under its `rare` words of the highest
+    IDF, and a file is looked up by all posted words in it; a notice needs two of its own at one relative position,
+    `coverage` of its words there and every mandatory phrase within `slack` words. The base phrases are anchored at their rarest word, all of whose places are looked up, so every base
     place is found. score is 1 with a base place, else the largest covered share, else 0. Null and empty texts have no
     words, empty label strings, null places and score 0; repeated rows are scanned each; spans are (label, from, to)."""
     texts = [text for _, text, _ in (NOTICES if notices is None else notices)] + list(BASE)
@@ -144,7 +145,7 @@ def scan(docs: DataFrame, top: int = 12, coverage: float = 0.7, slack: int = 4,
         def body(ids, column):
             out: list[list] = [ids, [], [], [], [], [], [], [], []]
             for text in column:
-                n, base, labels, spans = own.scan(text, top, coverage, slack)
+                n, base, labels, spans = own.scan(text, coverage, slack)
                 found = sorted({label for _, label in base})
                 values = (n, len(base), min(base)[0] if base else None, max(base)[0] if base else None, ",".join(found), ",".join(sorted({*found, *labels})), 1.0 if base else max(labels.values(), default=0.0), [{"label": a, "start": b, "end": c} for a, b, c in sorted(set(spans))])
                 for o, v in zip(out[1:], values, strict=True):

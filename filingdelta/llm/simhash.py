@@ -10,6 +10,7 @@ other exactly if some value lies within half of it of both, which costs a fixed
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -226,35 +227,34 @@ def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, at_most:
 
 def similarities(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per_copy: int = 256) -> DataFrame:
     """Rows (a, b, similarity): the exact Jaccard similarity of the shingle sets of each of pairs (a, b). nodes (fp, low)
-    gives a doc_id of each. A set that many pairs ask for as a is copied, so that no task gets all of them."""
+    gives a doc_id of each. A text that many pairs ask for as a is copied, so that no task gets all of them."""
     asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     asked = nodes.join(asked, "fp", "left_semi").select("fp", "low").checkpoint()
     lows = asked.select("low").distinct()
     texts = docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
 
-    def sets():
-        def body(column):
-            found = [shingle_set(t, words) for t in column]
-            return [[set_name(s) for s in found], [s.tobytes() for s in found]]
+    def named_texts():
+        return lambda column: [[set_name(shingle_set(t, words)) for t in column], [t.decode() if t is not None else None for t in column]]
 
-        return body
-
-    made = map_columns(texts, sets, "fp long, items binary").join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]).checkpoint()
+    # texts take less room than their sets, which do not compress
+    made = materialize(map_columns(texts, named_texts, "fp long, text string").join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "near-texts")
     wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
     copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
     dealt = pairs.join(F.broadcast(copies), F.col("a") == F.col("many"), "left")
     dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
     first = made.join(F.broadcast(copies), F.col("fp") == F.col("many"), "left")
-    first = first.select(F.col("fp").alias("fa"), F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
-    second = made.select(F.col("fp").alias("fb"), F.col("items").alias("y"))
+    first = first.select(F.col("fp").alias("fa"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
+    second = made.select(F.col("fp").alias("fb"), F.col("text").alias("y"))
     joined = dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb"))
 
     def judge():
+        sets = lru_cache(64)(lambda text: shingle_set(text, words))
+
         def body(a, b, x, y):
             out = []
-            for p, q in zip(x, y, strict=True):
-                both = len(np.intersect1d(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), assume_unique=True))
-                out.append(both / ((len(p) + len(q)) // 8 - both))
+            for p, q in zip(map(sets, x), map(sets, y), strict=True):
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                out.append(both / (len(p) + len(q) - both))
             return [a, b, out]
 
         return body

@@ -15,11 +15,14 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingdelta.llm.common import ASCII_LOWER, components, map_columns, materialize, share, unpack, whole_row
+from filingdelta.llm.common import ASCII_LOWER, Scratch, components, map_columns, materialize, share, small, unpack, whole_row
+from filingdelta.session import ship
 
 BITS = 64
 
@@ -31,36 +34,18 @@ def shingles(words: list[bytes], k: int) -> list[bytes]:
     return [b" ".join(s) for s in zip(*[words[i:] for i in range(k)], strict=False)]
 
 
-def wide_fingerprint(text: bytes | None, k: int, longs: int) -> list[int]:
-    """SimHash of 64 * longs bits, as signed longs: a bit is set if over half of the shingles' hashes have it.
-
-    The first long is of the shingles' XXH64 (seed 42); each further one of a bijective mix of it."""
+def fingerprint(text: bytes | None, k: int) -> int:
+    """Signed 64-bit SimHash of the XXH64 (seed 42) of the shingles: a bit is set if over half of the hashes have it."""
     items = shingles(text.translate(ASCII_LOWER).split(), k) if text else []
     if not items:
-        return [0] * longs
-    counts = np.zeros(BITS * longs, dtype=np.int64)
+        return 0
+    counts = np.zeros(BITS, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(items), 65_536):
         part = items[at : at + 65_536]
-        hashes = np.empty((len(part), longs), dtype=np.uint64)
-        hashes[:, 0] = np.fromiter((digest(s, 42) for s in part), dtype=np.uint64, count=len(part))
-        for n in range(1, longs):
-            hashes[:, n] = mixed(hashes[:, 0], n)
-        counts += np.unpackbits(hashes.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(items), bitorder="little").view(np.int64).tolist()
-
-
-def mixed(h: np.ndarray, n: int) -> np.ndarray:
-    """The finalizer of splitmix64 at the n-th step from h."""
-    z = h + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def fingerprint(text: bytes | None, k: int) -> int:
-    """Signed 64-bit SimHash of the XXH64 (seed 42) of the shingles: a bit is set if over half of the hashes have it."""
-    return wide_fingerprint(text, k, 1)[0]
+        hashes = np.fromiter((digest(s, 42) for s in part), dtype=np.uint64, count=len(part))
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(items), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, k: int) -> DataFrame:
@@ -141,49 +126,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, segments:
     read."""
     rows = materialize(fingerprints(docs, words), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
-    return named(rows, nodes, components(links(nodes.select("fp"), radius, segments, bucket_limit)))
+    return named(rows, grouped(nodes, components(links(nodes.select("fp"), radius, segments, bucket_limit))))
 
 
-def named(rows: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, component_id) from the documents' rows, the distinct fingerprints and the components of their links."""
+def grouped(nodes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows (of, component_id): the nodes (fp, low, n) that are in a group of two rows or more, and its smallest doc_id."""
     shared = nodes.join(label, F.col("fp") == F.col("node"), "left").filter("node is not null or n > 1")
     shared = shared.select("fp", "low", F.coalesce("label", "fp").alias("root")).checkpoint()
     lowest = shared.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = shared.join(lowest, "root").select(F.col("fp").alias("of"), "component_id", F.lit(True).alias("grouped")).checkpoint()
-    joined = rows.join(of, F.col("fp") == F.col("of"), "left")
-    return joined.select("doc_id", "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return shared.join(lowest, "root").select(F.col("fp").alias("of"), "component_id").checkpoint()
 
 
-#: Longs of a wide fingerprint. Each holds two segments of SEGMENT bits, one in each half.
-LONGS, SEGMENT = 5, 28
-
-
-def wide_links(nodes: DataFrame, radius: int, neighbours: int = 4) -> DataFrame:
-    """Edges (a, b) among nodes (fp, f1 .. f4; fp distinct) whose 320 bits differ in at most `radius`, but not all of them:
-    an estimate that near_copies no longer uses.
-
-    Ten segments of 28 bits: every fingerprint enters, for each segment, the ball of radius one around its value, so two
-    whose segment differs in up to two bits meet in a bucket. A bucket is sorted, and each member looks back at
-    `neighbours` others: all pairs of a small bucket, a chain through a crowded one, and never more rows than members
-    times neighbours. Each pair meets in several buckets, among other members. A first look at 64 bits passes pairs up to
-    radius/2 - 4 apart there, which a pair within the radius exceeds less than once in 10,000; the whole distance then decides."""
-    keys = []
-    for n in range(LONGS):
-        word = "fp" if n == 0 else f"f{n}"
-        for half in range(2):
-            value = F.shiftrightunsigned(word, 32 * half).bitwiseAND(F.lit((1 << SEGMENT) - 1))
-            tag = F.lit((2 * n + half) << SEGMENT)
-            keys += [value.bitwiseXOR(F.lit(m)).bitwiseOR(tag) for m in ball(SEGMENT, 1)]
-    entries = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    order = Window.partitionBy("key").orderBy("fp")
-    near = entries.select("fp", F.array(*[F.lag("fp", i).over(order) for i in range(1, neighbours + 1)]).alias("before"))
-    near = near.select("fp", F.filter("before", lambda x: F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius // 2 - 4).alias("before"))
-    pairs = near.select(F.explode("before").alias("a"), F.col("fp").alias("b")).distinct()
-    wide = [f"f{n}" for n in range(1, LONGS)]
-    left = nodes.select(F.col("fp").alias("a"), *[F.col(w).alias(f"a_{w}") for w in wide])
-    right = nodes.select(F.col("fp").alias("b"), *[F.col(w).alias(f"b_{w}") for w in wide])
-    apart = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in wide), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))))
-    return pairs.join(left, "a").join(right, "b").filter(apart <= radius).select("a", "b")
+def named(rows: DataFrame, groups: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows (doc_id, fp, component_id) from the documents' rows and the groups of grouped(). Those are sent to all
+    executors up to broadcast_rows of them, so that a group of very many copies needs no shuffle; beyond, Spark splits it."""
+    joined = rows.join(small(groups.withColumn("grouped", F.lit(True)), broadcast_rows), F.col("fp") == F.col("of"), "left")
+    return joined.select("doc_id", "fp", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
@@ -211,94 +169,145 @@ def prefix(items: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity
     return items[np.lexsort((items, rank))[:length]].view(np.int64)
 
 
-def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, at_most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, at_most: int = 200_000, tasks: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of about `sample` documents, sorted, and their counts. They only set an order that
-    keeps what many texts share out of the prefixes; no result depends on them."""
-    part = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), 42)
-
-    def maker():
-        return lambda texts: [np.concatenate([np.empty(0, np.uint64), *[shingle_set(t, words) for t in texts]]).view(np.int64)]
-
-    found = map_columns(part, maker, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(at_most).toArrow()
+    keeps what many texts share out of the prefixes; no result depends on them. The sample is counted by a few tasks,
+    which pass on what they have met more than once."""
+    part = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), 42).repartition(tasks)
+
+    def run(batches):
+        held, size = [], 0
+
+        def counted():
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                held.append(shingle_set(text, words))
+                size += len(held[-1])
+                if size > 8_000_000:
+                    yield counted()
+                    held, size = [], 0
+        if held:
+            yield counted()
+
+    ship(docs.sparkSession)
+    found = part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(at_most).toArrow()
     common, counts = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(common)
     return common[order], counts[order]
 
 
-def similarities(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, words: int, per_copy: int = 256) -> DataFrame:
-    """Rows (a, b, similarity): the exact Jaccard similarity of the shingle sets of each of pairs (a, b). nodes (fp, low)
-    gives a doc_id of each. A text that many pairs ask for as a is copied, so that no task gets all of them."""
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    asked = nodes.join(asked, "fp", "left_semi").select("fp", "low").checkpoint()
-    lows = asked.select("low").distinct()
-    texts = docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
-
-    def named_texts():
-        return lambda column: [[set_name(shingle_set(t, words)) for t in column], [t.decode() if t is not None else None for t in column]]
-
-    # texts take less room than their sets, which do not compress
-    made = materialize(map_columns(texts, named_texts, "fp long, text string").join(asked.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "near-texts")
-    wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
-    copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
-    dealt = pairs.join(F.broadcast(copies), F.col("a") == F.col("many"), "left")
-    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
-    first = made.join(F.broadcast(copies), F.col("fp") == F.col("many"), "left")
-    first = first.select(F.col("fp").alias("fa"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
-    second = made.select(F.col("fp").alias("fb"), F.col("text").alias("y"))
-    joined = dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb"))
-
-    def judge():
-        sets = lru_cache(64)(lambda text: shingle_set(text, words))
-
-        def body(a, b, x, y):
-            out = []
-            for p, q in zip(map(sets, x), map(sets, y), strict=True):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                out.append(both / (len(p) + len(q) - both))
-            return [a, b, out]
-
-        return body
-
-    return map_columns(joined.select("a", "b", "x", "y"), judge, "a long, b long, similarity double").checkpoint()
-
-
-def similar_links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, words: int, similarity: float, bucket_limit: int = 32) -> DataFrame:
-    """Edges (a, b) among the distinct sets of rows (fp, size, keys) whose connected components are those of all pairs of
-    a Jaccard similarity of at least `similarity`. Each edge is such a pair.
-
-    Two sets that similar share a shingle of their prefixes (keys). At the first one in order, what follows must suffice
-    for the overlap; sizes must allow it too. All pairs of a bucket that pass are compared, but a bucket of more than
-    bucket_limit sets is first compared with one of its members, its hub. Those similar to the hub are one component
-    already, so no two of them are compared; of the other pairs those are that the triangle inequality of the Jaccard
-    distance, taken at the hub, leaves."""
+class Judge:
+    """Exact similarities of pairs of the distinct texts of docs. Every text that a pair asks for is read once, packed, and
+    kept under its name until the block of `tmp` ends."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, tmp: Scratch, broadcast_rows: int = 2_000_000):
+        self.docs, self.nodes, self.words, self.tmp, self.broadcast_rows, self.calls = docs, nodes, words, tmp, broadcast_rows, 0
+
+    def texts(self, pairs: DataFrame) -> DataFrame:
+        """Rows (fp, text), text packed, of the nodes in pairs. The ids that choose the documents are sent to all executors
+        up to broadcast_rows of them; beyond, the documents are dealt by doc_id."""
+        words = self.words
+        asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        asked = self.tmp.keep(self.nodes.join(asked, "fp", "left_semi").select("fp", "low"), f"asked-{self.calls}")
+        lows = small(asked.select("low").distinct(), self.broadcast_rows)
+        texts = self.docs.select("doc_id", "text").join(lows, F.col("doc_id").eqNullSafe(F.col("low")), "left_semi").select("text")
+
+        def named_texts():
+            press = zstandard.ZstdCompressor(level=3)
+            seen: set[int] = set()
+
+            def body(column):
+                names, packed = [], []
+                for t in column:
+                    if (name := set_name(shingle_set(t, words))) not in seen:
+                        if len(seen) < 1_000_000:
+                            seen.add(name)
+                        names.append(name)
+                        packed.append(press.compress(t or b""))
+                return [names, packed]
+
+            return body
+
+        found = map_columns(texts, named_texts, "fp long, text binary").join(small(asked.select("fp"), self.broadcast_rows), "fp", "left_semi")
+        return self.tmp.keep(found.dropDuplicates(["fp"]), f"texts-{self.calls}")
+
+    def similarities(self, pairs: DataFrame, per_copy: int = 256) -> DataFrame:
+        """Rows (a, b, similarity): the exact Jaccard similarity of the shingle sets of each of pairs (a, b). A text that
+        many pairs ask for as a is copied, so that no task gets all of them."""
+        self.calls += 1
+        words, made = self.words, self.texts(pairs)
+        wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
+        copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
+        copies = small(copies, self.broadcast_rows)
+        dealt = pairs.join(copies, F.col("a") == F.col("many"), "left")
+        dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+        first = made.join(copies, F.col("fp") == F.col("many"), "left")
+        first = first.select(F.col("fp").alias("fa"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
+        second = made.select(F.col("fp").alias("fb"), F.col("text").alias("y"))
+        joined = dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb"))
+
+        def judge():
+            open_up = zstandard.ZstdDecompressor()
+            sets = lru_cache(64)(lambda text: shingle_set(open_up.decompress(text), words))
+
+            def body(a, b, x, y):
+                out = []
+                for p, q in zip(map(sets, x), map(sets, y), strict=True):
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    out.append(both / max(1, len(p) + len(q) - both))
+                return [a, b, out]
+
+            return body
+
+        found = self.tmp.keep(map_columns(joined.select("a", "b", "x", "y"), judge, "a long, b long, similarity double"), f"judged-{self.calls}")
+        self.tmp.drop(f"texts-{self.calls}", f"asked-{self.calls}")
+        return found
+
+
+def similar_links(entries: DataFrame, judge: Judge, similarity: float, tmp: Scratch, bucket_limit: int = 32) -> DataFrame:
+    """Edges (a, b) among the distinct sets of entries (fp, size, pos, key) whose connected components are those of all
+    pairs of a Jaccard similarity of at least `similarity`. Each edge is such a pair.
+
+    Two sets that similar share a shingle of their prefixes. At the first one in order, what follows must suffice for the
+    overlap; sizes must allow it too. All pairs of a bucket that pass are compared, but a bucket of more than bucket_limit
+    sets is first compared with one of its members, its hub. Those similar to the hub are one component already, so no two
+    of them are compared; of the other pairs those are that the triangle inequality of the Jaccard distance, taken at the
+    hub, leaves."""
     slack = 1e-9
     whole = similarity / (1 + similarity)
-    entries = rows.select("fp", "size", "keys").dropDuplicates(["fp"]).select("fp", "size", F.posexplode("keys").alias("pos", "key"))
-    bucket = Window.partitionBy("key")
-    shared = entries.select("*", F.count("*").over(bucket).alias("n"), F.min(F.struct("pos", "fp")).over(bucket)["fp"].alias("hub"), F.min("size").over(bucket).alias("least"))
+    buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("pos", "fp"))["fp"].alias("hub"), F.min("size").alias("least")).filter("n > 1")
     # not even the smallest set of the bucket could share enough of what follows
-    shared = shared.filter((F.col("n") > 1) & (F.col("size") - F.col("pos") >= whole * (F.col("size") + F.greatest("least", similarity * F.col("size"))) - slack)).checkpoint()
+    shared = entries.join(buckets, "key").filter(F.col("size") - F.col("pos") >= whole * (F.col("size") + F.greatest("least", similarity * F.col("size"))) - slack)
+    shared = tmp.keep(shared.select("key", "fp", "size", "pos", "n", "hub"), "buckets")
 
-    def may(x: str, y: str):
-        a, b, i, j = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.pos", f"{y}.pos"))
-        return (F.col(f"{x}.key") == F.col(f"{y}.key")) & (F.least(a, b) >= similarity * F.greatest(a, b) - slack) & (F.least(a - i, b - j) >= whole * (a + b) - slack)
+    def may(x: Column, y: Column) -> Column:
+        a, b, i, j = x["size"], y["size"], x["pos"], y["pos"]
+        return (F.least(a, b) >= similarity * F.greatest(a, b) - slack) & (F.least(a - i, b - j) >= whole * (a + b) - slack)
 
-    few = shared.filter(F.col("n") <= bucket_limit)
-    pairs = few.alias("x").join(few.alias("y"), may("x", "y") & (F.col("x.fp") < F.col("y.fp"))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # a bucket of bucket_limit members at most is one row
+    few = shared.filter(F.col("n") <= bucket_limit).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("fp", "size", "pos"))).alias("m"))
+    few = few.select("m", F.explode("m").alias("x")).select("x", F.explode(F.filter("m", lambda y: (F.col("x.fp") < y["fp"]) & may(F.col("x"), y))).alias("y"))
     crowded = shared.filter(F.col("n") > bucket_limit)
     stars = crowded.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
-    found = similarities(docs, nodes, pairs.union(stars).distinct().checkpoint(), words)
+    pairs = few.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(stars).distinct()
+    found = judge.similarities(tmp.keep(pairs, "pairs"))
     edges = found.filter(F.col("similarity") >= similarity - slack).select("a", "b")
     if crowded.isEmpty():
         return edges
     to_hub = found.select(F.col("a").alias("hub"), F.col("b").alias("fp"), (1 - F.col("similarity")).alias("far"))
-    member = crowded.filter("fp <> hub").join(to_hub, ["hub", "fp"]).select("key", "fp", "size", "pos", "far", (F.col("far") <= 1 - similarity + slack).alias("linked")).checkpoint()
-    left = member.filter(~F.col("linked")).alias("x")
-    near = (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similarity + slack) & (F.col("y.linked") | (F.col("x.fp") < F.col("y.fp")))
-    more = left.join(member.alias("y"), may("x", "y") & near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct().checkpoint()
+    member = crowded.filter("fp <> hub").join(to_hub, ["hub", "fp"])
+    member = tmp.keep(member.select("key", "fp", "size", "pos", "far", (F.col("far") <= 1 - similarity + slack).alias("linked")), "members")
+    x, y = F.struct(F.col("x.size"), F.col("x.pos")), F.struct(F.col("y.size"), F.col("y.pos"))
+    near = (F.col("x.key") == F.col("y.key")) & may(x, y) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similarity + slack)
+    alone = member.filter(~F.col("linked")).alias("x")
+    more = alone.join(member.alias("y"), near & (F.col("y.linked") | (F.col("x.fp") < F.col("y.fp")))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    more = tmp.keep(more.distinct(), "more-pairs")
     if more.isEmpty():
         return edges
-    return edges.union(similarities(docs, nodes, more, words).filter(F.col("similarity") >= similarity - slack).select("a", "b"))
+    return edges.union(judge.similarities(more).filter(F.col("similarity") >= similarity - slack).select("a", "b"))
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_limit: int = 32) -> DataFrame:
@@ -306,21 +315,38 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
     exactly if the Jaccard similarity of their sets of shingles is at least `similarity`.
 
     Shingles are told apart by 64-bit hashes, and fp is a 64-bit name of the set: equal sets are one node. Nulls, blank
-    texts and repeated rows are as there."""
-    shared = share(docs.sparkSession, common_shingles(docs, words))
+    texts and repeated rows are as there. A prefix shingle that one row alone has goes before rows are dealt by shingle."""
+    spark = docs.sparkSession
+    shared = share(spark, common_shingles(docs, words))
 
     def maker():
         common, counts = shared.value
+        seen: set[int] = set()
 
         def body(ids, texts):
             sets = [shingle_set(t, words) for t in texts]
-            return [ids, [set_name(s) for s in sets], [len(s) for s in sets], [prefix(s, common, counts, similarity) for s in sets]]
+            names = [set_name(s) for s in sets]
+            keys: list[np.ndarray | None] = []
+            for name, items in zip(names, sets, strict=True):  # copies in one task give their prefix once
+                keys.append(None if name in seen else prefix(items, common, counts, similarity))
+                if len(seen) < 1_000_000:
+                    seen.add(name)
+            return [ids, names, [len(s) for s in sets], keys]
 
         return body
 
-    rows = materialize(map_columns(docs.select("doc_id", "text"), maker, "doc_id long, fp long, size int, keys array<long>"), "prefixes")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).checkpoint()
-    return named(rows.select("doc_id", "fp"), nodes, components(similar_links(docs, rows, nodes, words, similarity, bucket_limit)))
+    with Scratch(spark) as tmp:
+        made = tmp.keep(map_columns(docs.select("doc_id", "text"), maker, "doc_id long, fp long, size int, keys array<long>"), "prefixes")
+        rows = materialize(made.select("doc_id", "fp"), "names")
+        nodes = tmp.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+        entries = made.filter("keys is not null").select("fp", "size", F.posexplode("keys").alias("pos", "key"))
+        often = tmp.keep(entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "often")
+        held = tmp.keep(entries.hint("merge").join(often, "key", "left_semi"), "held")
+        tmp.drop("prefixes", "often")
+        entries = tmp.keep(held.dropDuplicates(["key", "fp"]), "entries")
+        tmp.drop("held")
+        edges = similar_links(entries, Judge(docs, nodes, words, tmp), similarity, tmp, bucket_limit)
+        return named(rows, grouped(nodes, components(edges)))
 
 
 def hex_of(fp: str = "fp"):
@@ -332,14 +358,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Rows with a null doc_id are kept, as nothing names them. Of repeated rows (equal doc_id and set of shingles) one stays.
     Decisions are by doc_id and set, so rows that share a doc_id but not a text are judged apart."""
-    found = near_copies(docs, words, similarity)
-    tallied = found.filter("doc_id is not null").groupBy("doc_id", "fp").agg(F.count("*").alias("n"), F.first("component_id").alias("component_id")).checkpoint()
-    gone = tallied.filter("doc_id <> component_id").select(F.col("doc_id").alias("_i"), F.col("fp").alias("_f"))
+    found = near_copies(docs, words, similarity).filter("doc_id is not null")
+    gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_i"), F.col("fp").alias("_f")), "gone")
 
-    if tallied.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n").alias("n")).filter("k > 1 or n > 1").isEmpty():
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         # doc_id tells rows apart: it alone decides
         packed = whole_row(docs, F.col("doc_id").alias("_k"))
-        return unpack(packed.join(gone.select("_i"), F.col("_k") == F.col("_i"), "left_anti"))
+        return unpack(packed.join(small(gone.select("_i"), 2_000_000), F.col("_k") == F.col("_i"), "left_anti"))
 
     @F.pandas_udf("long")
     def again(texts: pd.Series) -> pd.Series:
@@ -347,5 +372,5 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     packed = whole_row(docs, F.col("doc_id").alias("_k"), again(F.col("text")).alias("_p"))
     kept = packed.join(gone, (F.col("_k") == F.col("_i")) & (F.col("_p") == F.col("_f")), "left_anti")
-    named, unnamed = kept.filter("_k is not null"), kept.filter("_k is null")
-    return unpack(named.dropDuplicates(["_k", "_p"]).unionByName(unnamed))
+    named_rows, unnamed = kept.filter("_k is not null"), kept.filter("_k is null")
+    return unpack(named_rows.dropDuplicates(["_k", "_p"]).unionByName(unnamed))

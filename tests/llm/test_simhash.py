@@ -3,7 +3,6 @@ import re
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from filingdelta.llm import simhash
 
@@ -65,7 +64,8 @@ def test_odd_rows(spark, odd, empty):
     found = simhash.near_duplicates(odd, words=4).collect()
     assert len(found) == odd.count()
     by = {r["doc_id"]: r["component_id"] for r in found}
-    assert by[5] == by[6] == 5 and by[1] == by[2] == by[3] == 1 and by[None] is not None or True
+    assert by[5] == by[6] == 5 and by[1] == by[2] == by[3] == 1 and by[4] == 4 and by[7] == 7 and by[8] == 8
+    assert sorted(str(r['component_id']) for r in found if r['doc_id'] is None) == ['1', 'None']
     blank = [r for r in found if r["fp"] == 0]
     assert {r["component_id"] for r in blank} == {1} and len(blank) == 4
     assert simhash.near_duplicates(empty).count() == 0
@@ -103,24 +103,6 @@ def test_near_copies_against_brute_force(spark):
     for members in group.values():  # nothing joins a group without a near relation in it
         assert all(any(similar(sets[i], sets[j]) >= 0.55 for j in members if j != i) for i in members if len(members) > 1)
     assert all(found[i] == i for i in range(90, 105))
-    prints = {i: simhash.wide_fingerprint(" ".join(w).encode(), 5, 5) for i, w in enumerate(texts)}
-    assert all(p[0] == simhash.fingerprint(" ".join(texts[i]).encode(), 5) for i, p in prints.items())
-
-
-def test_wide_links_keep_the_radius(spark):
-    rng = random.Random(3)
-    rows = []
-    for _ in range(40):
-        base = rng.getrandbits(320)
-        for d in (0, 5, 30, 60, 90):
-            p = base ^ sum(1 << b for b in rng.sample(range(320), d))
-            rows.append(tuple(simhash.signed(p >> 64 * n & (1 << 64) - 1) for n in range(5)))
-    rows = list({r[0]: r for r in rows}.values())
-    whole = {r[0]: sum((x & (1 << 64) - 1) << 64 * n for n, x in enumerate(r)) for r in rows}
-    found = {(r["a"], r["b"]) for r in simhash.wide_links(spark.createDataFrame(rows, "fp long, f1 long, f2 long, f3 long, f4 long"), 56).collect()}
-    assert found and all((whole[a] ^ whole[b]).bit_count() <= 56 for a, b in found)
-    near = {(a, b) for a in whole for b in whole if a < b and (whole[a] ^ whole[b]).bit_count() <= 35}
-    assert len(near) >= 80 and len(near - found) <= 0.05 * len(near)
 
 
 def test_odd_radius_is_refused(spark):
@@ -136,4 +118,3 @@ def test_chain_components(spark):
 
 def test_hex(spark):
     assert spark.createDataFrame([(-1,), (0,), (10,)], "fp long").select(simhash.hex_of()).collect() == [("f" * 16,), ("0" * 16,), ("0" * 15 + "a",)]
-    assert F is not None

@@ -21,8 +21,16 @@ WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 
 
+def letters_of(text: str) -> list[str]:
+    """Runs of letters, lower-cased. Numbers that are no digits, such as fractions and Roman numerals, are not letters."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for x in found for w in ([x] if x.isalpha() else "".join(c if c.isalpha() else " " for c in x).split())]
+
+
 def words_of(text: bytes | None) -> list[str]:
-    return WORD.findall(text.decode("utf-8", "replace").lower()) if text else []
+    return letters_of(text.decode("utf-8", "replace")) if text else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -140,7 +148,7 @@ def language_of(model: Model, spark: SparkSession):
         own = shared.value
         names, shares = [], []
         for text in texts:
-            words = WORD.findall(text.lower()) if text else []
+            words = letters_of(text) if text else []
             if not words or not own.langs:
                 names.append("und")
                 shares.append(0.0)

@@ -1,21 +1,24 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A run is a table of line hashes, sorted, with the number of documents that hold the line and the largest of their ids.
-Each batch of documents adds a run at level 0; when a level has `fanout` runs, a compaction merges them into one run of
-the next level, so a hash is rewritten a logarithmic number of times. A batch is deduplicated by merging its sorted
-hashes with the runs.
+A run is a table of line hashes, dealt into buckets and sorted in them. Each batch of documents merges its own sorted
+hashes with the runs: the anti-join gives the lines that no run holds, which become a run of level 0 with the largest
+doc_id of the batch that holds them; for the others only the number of their documents is added. Batches go from the
+largest doc_ids down, so the run that holds a line first names the document that keeps it. When a level has `fanout` runs,
+they are compacted into one run of the next level, so a hash is rewritten a logarithmic number of times. Runs are
+bucketed tables: a batch is dealt out once, and no run is shuffled again.
 """
 
 from __future__ import annotations
 
 import struct
+from functools import reduce
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingdelta.llm.common import ASCII_LOWER, delete_path, map_columns, materialize, new_path, whole_row
+from filingdelta.llm.common import ASCII_LOWER, Scratch, delete_path, freed_shuffles, map_columns, materialize, new_path, small, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUES = bytes(range(0x80, 0xC0))
@@ -55,27 +58,60 @@ def hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class Runs:
-    """The levelled runs, in the shared folder. Old runs are deleted once a compaction has replaced them."""
+    """The levelled runs, in the shared folder and known to the session's catalog until the block ends. A run has the lines
+    that were new in its batch (fresh) and, apart from them, counts of lines that an older run holds. Old runs are deleted
+    once a compaction has replaced them."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
+    def __init__(self, spark: SparkSession, fanout: int = 4, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.made: dict[str, str] = {}
+        self.compactions = 0
 
-    def read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(path)
+    def __enter__(self) -> Runs:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.made):
+            self.drop(name)
+
+    def drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        delete_path(self.spark, self.made.pop(name))
 
     def write(self, rows: DataFrame) -> str:
-        """rows come from a grouping by (h1, h2), so they are dealt out by it and only need sorting."""
         path = new_path(self.spark, "run")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
+        name = "run_" + path.rpartition("-")[2]
+        self.made[name] = path
+        with freed_shuffles(self.spark):
+            dealt = rows.repartition(self.buckets, "h1", "h2")
+            dealt.write.partitionBy("fresh").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
+        return name
+
+    @property
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
+
+    def fresh(self, name: str) -> DataFrame:
+        return self.spark.table(name).filter("fresh = 1").select("h1", "h2", "n_docs", "last_doc")
 
-    def merged(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def new_lines(self, lines: DataFrame) -> DataFrame:
+        """The rows of a batch (h1, h2, ...) whose line no run holds: merge anti-joins with the runs."""
+        for name in self.names:
+            lines = lines.hint("merge").join(self.fresh(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return lines
 
     def add(self, lines: DataFrame) -> None:
-        """Add a batch of (doc_id, h1, h2), distinct, as a run of its own."""
-        path, level = self.write(lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))), 0
+        """Add a batch of (doc_id, h1, h2), distinct, whose doc_ids are smaller than those of the batches before."""
+        counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        held = None
+        for name in self.names:  # at most fanout - 1 a level
+            counted = counted.hint("merge").join(self.fresh(name).select("h1", "h2", F.lit(1).alias("old")), ["h1", "h2"], "left")
+            held = F.col("old").isNotNull() if held is None else F.col("held") | F.col("old").isNotNull()
+            counted = counted.withColumn("held", held).drop("old")
+        fresh = F.lit(1) if held is None else F.when(F.col("held"), 0).otherwise(1)
+        path, level = self.write(counted.select("h1", "h2", "n_docs", "last_doc", fresh.alias("fresh"))), 0
         while True:
             if level == len(self.levels):
                 self.levels.append([])
@@ -84,76 +120,63 @@ class Runs:
                 return
             old, self.levels[level] = self.levels[level], []
             path, level = self.write(self.merged(old)), level + 1
-            for p in old:
-                delete_path(self.spark, p)
+            self.compactions += 1
+            for name in old:
+                self.drop(name)
 
-    @property
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def merged(self, names: list[str]) -> DataFrame:
+        """One row for each line of these runs; a line that one of them has as fresh is fresh."""
+        each = [self.spark.read.schema(RUN + ", fresh int").parquet(self.made[name]) for name in names]
+        rows = reduce(DataFrame.unionByName, each)
+        return rows.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max_by("last_doc", F.struct("fresh", "last_doc")).alias("last_doc"), F.max("fresh").alias("fresh"))
 
     def all(self) -> DataFrame:
-        """One row for each line hash, over all runs."""
-        if not self.paths:
+        """Rows (h1, h2, n_docs, last_doc): one for each line of all batches, with its documents and the largest doc_id."""
+        if not self.names:
             return self.spark.createDataFrame([], RUN)
-        return self.merged(self.paths) if len(self.paths) > 1 else self.read(self.paths[0])
-
-    def new_lines(self, lines: DataFrame) -> DataFrame:
-        """The rows of a batch whose line no run holds: a merge anti-join of the batch with the runs."""
-        return lines.hint("merge").join(self.all().select("h1", "h2"), ["h1", "h2"], "left_anti")
-
-    def repeated(self, lines: DataFrame, min_docs: int) -> DataFrame:
-        """The rows of a batch that a document loses: at least min_docs documents hold the line, and a later one keeps it."""
-        often = self.all().filter(F.col("n_docs") >= min_docs)
-        return lines.hint("merge").join(often, ["h1", "h2"]).filter("doc_id <> last_doc").select("doc_id", "h1", "h2")
+        return self.merged(self.names).select("h1", "h2", "n_docs", "last_doc")
 
 
-def batches_of(docs: DataFrame, batch_docs: int) -> tuple[int, list[int]]:
-    """(number of batches, the doc_ids at which one ends), of about batch_docs documents each, by doc_id."""
-    n = docs.filter("doc_id is not null").count()
-    k = max(1, -(-n // batch_docs))
-    if k == 1:
-        return 1, []
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], 10_000)).first()[0]
-    return k, sorted(set(cuts))
+def batches_of(docs: DataFrame, batches: int) -> list[int]:
+    """The doc_ids at which a batch ends, but for the last: about `batches` equal parts by doc_id."""
+    cuts = docs.filter("doc_id is not null").agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] if batches > 1 else None
+    return sorted(set(cuts or []))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batch_docs: int, fanout: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int, broadcast_rows: int) -> DataFrame:
     """Rows (doc_id, hashes array<struct<h1,h2>>) of the documents that lose lines, in the shared folder."""
     spark = docs.sparkSession
     lines = hashed_lines(docs, min_chars)
     if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         lines = lines.distinct()  # rows of one doc_id are one document
-    _, cuts = batches_of(docs.select("doc_id"), batch_docs)
-    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts), F.lit(0))  # 0: the latest documents
-    table = new_path(spark, "lines")
-    if cuts:
-        lines.withColumn("batch", batch).write.partitionBy("batch").parquet(table)
-    else:
-        lines.write.parquet(table)
-    stored = spark.read.schema("doc_id long, h1 long, h2 long" + ", batch int" * bool(cuts)).parquet(table)
-    runs = Runs(spark, fanout)
-    for b in range(len(cuts) + 1):
-        runs.add((stored.filter(F.col("batch") == b) if cuts else stored).select("doc_id", "h1", "h2"))
-    gone = runs.repeated(stored.select("doc_id", "h1", "h2"), min_docs)
-    out = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hashes")), "dropped")
-    for p in [table, *runs.paths]:
-        delete_path(spark, p)
-    return out
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batch_docs: int = 200_000, fanout: int = 4, broadcast_rows: int = 500_000) -> DataFrame:
+    cuts = batches_of(docs.select("doc_id"), batches)
+    batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts), F.lit(0))  # 0: the largest doc_ids
+    with Scratch(spark) as tmp, Runs(spark, fanout) as runs:
+        table = tmp.path("lines")
+        with freed_shuffles(spark):
+            lines.withColumn("batch", batch).write.partitionBy("batch").parquet(table)
+        stored = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(table)
+        for b in range(len(cuts) + 1):
+            runs.add(stored.filter(F.col("batch") == b).select("doc_id", "h1", "h2"))
+        often = tmp.keep(runs.all().filter(F.col("n_docs") >= min_docs), "often")
+        gone = stored.select("doc_id", "h1", "h2").join(small(often, broadcast_rows), ["h1", "h2"]).filter("doc_id <> last_doc")
+        return materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hashes")), "dropped")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 6, fanout: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
     """Rows (_row, n_lines, n_dropped, kept), one per row of docs, _row being the whole row.
 
     A text is split at \\n; a line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at
     least min_chars code points that at least min_docs documents hold lose all their lines except in the largest doc_id.
     Null and empty texts are one empty line, which stays. Rows with a null doc_id neither count as holders nor lose
-    lines; rows of one doc_id are one document. batch_docs documents make a run. The dropped hashes are sent to all
-    executors only up to broadcast_rows of them, and are joined by doc_id beyond."""
-    gone = dropped_lines(docs, min_chars, min_docs, batch_docs, fanout)
-    n = gone.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    lines; rows of one doc_id are one document. The documents are taken in `batches` parts, whatever their number, so the
+    number of jobs is fixed. What is sent to all executors, the repeated lines and then those to drop, is at most
+    broadcast_rows rows; beyond, both sides are dealt by line and by doc_id."""
+    gone = dropped_lines(docs, min_chars, min_docs, batches, fanout, broadcast_rows)
+    few = gone.agg(F.sum(F.size("hashes"))).first()[0] or 0
     right = gone.select(F.col("doc_id").alias("_g"), "hashes")
     packed = whole_row(docs, F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
-    joined = packed.join(F.broadcast(right) if n <= broadcast_rows else right, F.col("_k") == F.col("_g"), "left")
+    joined = packed.join(F.broadcast(right) if few <= broadcast_rows else right, F.col("_k") == F.col("_g"), "left")
 
     @F.pandas_udf("n_lines long, n_dropped long, kept string")
     def keep(texts: pd.Series, hashes: pd.Series) -> pd.DataFrame:

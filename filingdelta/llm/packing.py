@@ -1,7 +1,8 @@
 """Token ids packed into fixed rows by best-fit decreasing.
 
-Documents are dealt to shards by a hash of doc_id. A shard is read in the order of doc_id and packed in blocks of a
-bounded number of tokens, so memory does not depend on the shard. Within a block, segments go longest first into the
+Documents are dealt to shards by a hash of doc_id and text, as many shards as the bytes of text call for, and each shard to
+a task of its own. A shard is read in the order of doc_id and packed in blocks of a bounded number of tokens, so memory
+does not depend on the shard. Within a block, segments go longest first into the
 fullest row that still takes them, which a segment tree over the free room finds in logarithmic time.
 """
 
@@ -10,7 +11,6 @@ from __future__ import annotations
 import base64
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from filingdelta.llm.common import share
+from filingdelta.llm.common import parts_of, share
 
 #: Fixed value: the published split pattern of the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ROW = "shard long, block int, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, segments array<struct<doc_id:long,first:long,length:int>>"
+SEGMENTS = "segments array<struct<doc_id:long,first:long,length:int>>"
+ROW = f"shard int, block int, row int, n_tokens int, input_ids binary, cu_seqlens array<int>, position_ids binary, {SEGMENTS}"
+MATRIX = f"shard int, block int, matrix int, n_rows int, n_tokens long, ids binary, positions binary, cu_seqlens array<long>, {SEGMENTS}"
 
 
 class Encoder:
@@ -112,57 +114,121 @@ def best_fit_decreasing(lengths: list[int], size: int) -> list[list[int]]:
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, row_length: int = 2048, docs_per_shard: int = 8_192, block_tokens: int = 2_000_000) -> DataFrame:
+class Packer:
+    """Packs the documents of a shard, given in order, block by block."""
+
+    def __init__(self, ranks: bytes, row_length: int, block_tokens: int):
+        self.encoder = Encoder(ranks)
+        self.end = np.array([self.encoder.end], dtype="<u2").tobytes()
+        self.row_length, self.block_tokens = row_length, block_tokens
+
+    def blocks(self, rows):
+        """(shard, block, packed rows) from (doc_id, text, shard): each packed row is a list of (doc_id, first, ids)."""
+        shard, block, held, segments = None, 0, 0, []
+        step = 2 * self.row_length
+        for doc, text, s in rows:
+            if segments and (s != shard or held >= self.block_tokens):
+                yield shard, block, self.packed(segments)
+                block, held, segments = block + 1, 0, []
+            if s != shard:
+                shard, block = s, 0
+            ids = self.encoder.encode(text or "") + self.end
+            segments += [(doc, at // 2, ids[at : at + step]) for at in range(0, len(ids), step)]
+            held += len(ids) // 2
+        if segments:
+            yield shard, block, self.packed(segments)
+
+    def packed(self, segments):
+        return [[segments[k] for k in members] for members in best_fit_decreasing([len(x) // 2 for _, _, x in segments], self.row_length)]
+
+
+def positions_of(sizes: list[int]) -> bytes:
+    """0, 1, ... for each segment anew."""
+    return np.concatenate([np.arange(n, dtype="<u2") for n in sizes]).tobytes()
+
+
+def as_row(shard: int, block: int, at: int, parts: list) -> tuple:
+    sizes = [len(x) // 2 for _, _, x in parts]
+    cu = [0, *np.cumsum(sizes).tolist()]
+    return shard, block, at, cu[-1], b"".join(x for _, _, x in parts), cu, positions_of(sizes), [{"doc_id": d, "first": f, "length": n} for (d, f, _), n in zip(parts, sizes, strict=True)]
+
+
+def as_matrix(shard: int, block: int, at: int, rows: list[list], row_length: int, pad: int) -> tuple:
+    """Rows stacked to n_rows x row_length ids; the padding of a row is a segment of positions and cu_seqlens without a
+    document."""
+    ids, sizes, segments = [], [], []
+    fill = np.array([pad], dtype="<u2").tobytes()
+    tokens = 0
+    for parts in rows:
+        own = [len(x) // 2 for _, _, x in parts]
+        gap = row_length - sum(own)
+        ids += [*(x for _, _, x in parts), fill * gap]
+        sizes += own + [gap] * (gap > 0)
+        tokens += sum(own)
+        segments += [{"doc_id": d, "first": f, "length": n} for (d, f, _), n in zip(parts, own, strict=True)]
+    return shard, block, at, len(rows), tokens, b"".join(ids), positions_of(sizes), [0, *np.cumsum(sizes).tolist()], segments
+
+
+def shards_of(docs: DataFrame, vocabulary: str, row_length: int, shard_bytes: int, block_tokens: int, made, schema: str, batch_rows: int) -> DataFrame:
+    """made(shard, block, rows of the block) gives the result's rows. Shards are dealt by their number, one to a task."""
+    spark = docs.sparkSession
+    if not 1 <= row_length <= 65_535:
+        raise ValueError("row_length must be from 1 to 65535")
+    ranks = share(spark, read_file(spark, vocabulary))
+    size = docs.agg(F.sum(F.octet_length("text") + 8), F.count("*")).first()
+    shards = max(1, -(-max(size[0] or 0, 8 * size[1]) // shard_bytes))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
+    dealt = docs.select("doc_id", "text", place.alias("shard")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+    kind = T._parse_datatype_string(schema)
+
+    def run(batches):
+        types = to_arrow_schema(kind)
+        out = []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+
+        rows = (r for batch in parts_of(batches) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for shard, block, packed in Packer(ranks.value, row_length, block_tokens).blocks(rows):
+            for x in made(shard, block, packed):
+                out.append(x)
+                if len(out) >= batch_rows:
+                    yield batch_of()
+                    out.clear()
+        if out:
+            yield batch_of()
+
+    return dealt.mapInArrow(run, kind)
+
+
+def pack(docs: DataFrame, vocabulary: str, row_length: int = 2048, shard_bytes: int = 16 << 20, block_tokens: int = 2_000_000) -> DataFrame:
     """Packed rows of the whole texts of docs, each document followed by the end id.
 
     Documents of more than row_length ids are split into segments that tile them, without loss. A result row has
     input_ids and position_ids (two-byte little-endian, n_tokens each; positions start at 0 in each segment), cu_seqlens
     (0 and the cumulative segment lengths) and segments (doc_id, index of its first id in the document, length). Null and
     empty texts are the end id alone. Repeated rows and null doc_ids are packed like any other row."""
-    spark = docs.sparkSession
-    if not 1 <= row_length <= 65_535:
-        raise ValueError("row_length must be from 1 to 65535")
-    ranks = share(spark, read_file(spark, vocabulary))
-    shards = max(1, -(-docs.count() // docs_per_shard))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
-    schema = T._parse_datatype_string(ROW)
 
-    def flush(shard, block, segments, out):
-        for at, members in enumerate(best_fit_decreasing([len(s[2]) // 2 for s in segments], row_length)):
-            parts = [segments[k] for k in members]
-            sizes = np.array([len(p[2]) // 2 for p in parts])
-            out.append((shard, block, at, int(sizes.sum()), b"".join(p[2] for p in parts), [0, *sizes.cumsum().tolist()], np.concatenate([np.arange(n, dtype="<u2") for n in sizes]).tobytes(), [{"doc_id": d, "first": f, "length": len(x) // 2} for d, f, x in parts]))
+    def made(shard, block, packed):
+        return (as_row(shard, block, at, parts) for at, parts in enumerate(packed))
+
+    return shards_of(docs, vocabulary, row_length, shard_bytes, block_tokens, made, ROW, 1_000)
 
-    def run(batches):
-        types = to_arrow_schema(schema)
-        encoder = Encoder(ranks.value)
-        end = np.array([encoder.end], dtype="<u2").tobytes()
-        step = 2 * row_length
-        shard, block, held, segments, out = None, 0, 0, [], []
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
-
-        for batch in batches:
-            for doc, text, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if segments and (s != shard or held >= block_tokens):
-                    flush(shard, block, segments, out)
-                    block, held, segments = block + 1, 0, []
-                if s != shard:
-                    shard, block = s, 0
-                ids = encoder.encode(text or "") + end
-                segments += [(doc, at // 2, ids[at : at + step]) for at in range(0, len(ids), step)]
-                held += len(ids) // 2
-                while len(out) >= 1_000:
-                    yield batch_of(out[:1_000])
-                    del out[:1_000]
-        if segments:
-            flush(shard, block, segments, out)
-        for at in range(0, len(out), 1_000):
-            yield batch_of(out[at : at + 1_000])
 
-    return dealt.mapInArrow(run, schema)
+def matrices(docs: DataFrame, vocabulary: str, row_length: int = 2048, rows_per_matrix: int = 512, pad: int = 0, shard_bytes: int = 16 << 20, block_tokens: int = 2_000_000) -> DataFrame:
+    """The rows of pack() stacked to id matrices, of rows_per_matrix rows at most: ids (n_rows x row_length two-byte ids,
+    filled up with pad), positions (0 starts a segment or the padding), cu_seqlens (flat cumulative segment lengths, the
+    padding of a row counting as one) and the segments of documents in order; n_tokens without padding."""
+
+    def made(shard, block, packed):
+        return (as_matrix(shard, block, at // rows_per_matrix, packed[at : at + rows_per_matrix], row_length, pad) for at in range(0, len(packed), rows_per_matrix))
+
+    return shards_of(docs, vocabulary, row_length, shard_bytes, block_tokens, made, MATRIX, 1)
+
+
+def write_packed(docs: DataFrame, vocabulary: str, path: str, **parameters: int) -> None:
+    """Write the matrices of docs, one Parquet row each."""
+    matrices(docs, vocabulary, **parameters).write.parquet(path)
 
 
 def read_file(spark: SparkSession, path: str) -> bytes:
@@ -171,24 +237,3 @@ def read_file(spark: SparkSession, path: str) -> bytes:
         return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
     with open(path, "rb") as f:
         return f.read()
-
-
-def write_packed(packed: DataFrame, path: str, row_length: int = 2048, rows_per_matrix: int = 512, pad: int = 0) -> None:
-    """Write packed rows as id matrices: binary files of rows x row_length two-byte ids, one Parquet row each, with the
-    flat cumulative segment lengths and the position resets of the matrix (position 0 starts a segment or the padding)."""
-    schema = "shard long, matrix long, n_rows int, ids binary, positions binary, cu_seqlens array<long>"
-    fill = np.array([pad], dtype="<u2").tobytes()
-
-    def stack(rows):
-        rows = rows.sort_values(["block", "row"])
-        ids = b"".join(x + fill * (row_length - len(x) // 2) for x in rows["input_ids"])
-        gaps = [np.arange(row_length - len(x) // 2, dtype="<u2").tobytes() for x in rows["input_ids"]]
-        positions = b"".join(x + g for x, g in zip(rows["position_ids"], gaps, strict=True))
-        cu: list[int] = [0]
-        for k, (c, n) in enumerate(zip(rows["cu_seqlens"], rows["n_tokens"], strict=True)):
-            cu += [k * row_length + int(e) for e in c[1:]] + ([(k + 1) * row_length] if n < row_length else [])
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "matrix": [rows["matrix"].iloc[0]], "n_rows": [len(rows)], "ids": [ids], "positions": [positions], "cu_seqlens": [cu]})
-
-    # a block has a bounded number of rows, so (block, part of it) names a bounded group
-    keyed = packed.withColumn("matrix", F.col("block").cast("long") * 1_000_000 + F.floor(F.col("row") / rows_per_matrix))
-    keyed.groupBy("shard", "matrix").applyInPandas(stack, schema).write.parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingdelta.llm import decontamination, language_id, license_scan, line_dedup, packing, quality, sentencepiece_lattice, simhash, toxicity, warc
-from filingdelta.llm.common import new_path
+from filingdelta.llm.common import Scratch, materialize
 
 #: Where the vocabulary files are; a parameter of the environment they run in.
 TOKENIZERS = os.environ.get("FILINGDELTA_TOKENIZERS", "/opt/tokenizers")
@@ -39,14 +39,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "archives")
-    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
-    return warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with Scratch(spark) as tmp:
+        path = tmp.path("archives")
+        warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+        return materialize(warc.read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "digests")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
-    return packed.select("shard", "block", "row", "n_tokens", "cu_seqlens", F.col("segments.doc_id").alias("doc_ids"), F.sha2("input_ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+    made = packing.matrices(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return made.select("shard", "block", "matrix", "n_rows", "n_tokens", "cu_seqlens", F.col("segments.doc_id").alias("doc_ids"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.cascade(table(spark, sf_dir, "documents")).drop("rejected_by")
+    return quality.cascade(table(spark, sf_dir, "documents"), statistics=quality.STATISTICS).drop("rejected_by", "steps")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,9 +113,13 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
                          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(q.n, 0)::BIGINT AS n_repeat_words,
+                         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words,
+                         coalesce(list_max(map_values(list_histogram(words))), 0) AS n_top_word,
+                         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_cut_lines,
                          len(lines) AS n_lines FROM w LEFT JOIN q ON w.doc_id = q.doc_id),
             v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
             SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                    NOT base_failed AND n_symbols <= n_words AND 2 * n_dup_lines <= n_lines
-                   AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AS kept FROM v""",
+                   AND word_chars >= 2 * n_words AND word_chars <= 20 * n_words AND 10 * n_letter_words >= 6 * n_words
+                   AND 10 * n_top_word <= 3 * n_words AND 10 * n_cut_lines <= 3 * n_lines AS kept FROM v""",
     }

@@ -1,6 +1,10 @@
 import base64
 import hashlib
+import math
 import re
+import tracemalloc
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,8 +30,6 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_ignores_held_out_and_names(spark):
-    import zlib
-
     ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2][:8]
     out = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2)
     rows = [(i, "the cat and the dog" if k % 2 else "der hund und die katze", "en" if k % 2 else "de") for k, i in enumerate(ids)] + [(out, "xyzzy", "xx")]
@@ -42,6 +44,48 @@ def test_backoff():
     assert model.unseen("abc") == [1] and model.unseen("zz") == [0, 0] and model.unseen("q") == []
 
 
+def test_language_without_letters(spark):
+    """Fractions, Roman numerals and circled numbers are no letters."""
+    texts = ["½ ²", "①", "Ⅷ", "12 ٣", "!?", "½ the dog", "the²dog"]
+    assert language_id.words_of("½ the x²y".encode()) == ["the", "x", "y"]
+    labelled = spark.createDataFrame([(0, "the cat and the dog", "en"), (1, "der hund und die katze", "de")], "doc_id long, text string, lang string")
+    found = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), language_id.fit(labelled)).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == ["und"] * 5 + ["en"] * 2 and [r["score"] for r in found[:5]] == [0.0] * 5
+
+
+def brute_language(docs, max_grams=100_000 // 4):
+    """Words and n-grams counted and scored one by one, with fractions of counts in place of arrays."""
+    learned = [(words, lang) for _, words, lang, out in docs if not out and lang is not None]
+    langs = sorted({lang for _, lang in learned})
+    tables = []
+    for size in (0, 4, 3, 2, 1):
+        count = {}
+        for words, lang in learned:
+            for w in words:
+                for token in [w] if size == 0 else language_id.grams_of(w, size):
+                    count.setdefault(token, dict.fromkeys(langs, 0))[lang] += 1
+        total = {lang: sum(c[lang] for c in count.values()) for lang in langs}
+        kept = sorted(count, key=lambda t: (-sum(count[t].values()), t))[: 200_000 if size == 0 else max_grams]
+        tables.append({t: [math.log((count[t][lang] + 0.5) / (total[lang] + 0.5 * (len(kept) + 1))) for lang in langs] for t in kept})
+    out = {}
+    for i, words, _, _ in docs:
+        score = [0.0] * len(langs)
+        for w in words:
+            rows = next((r for size, table in zip((0, 4, 3, 2, 1), tables, strict=True) if (r := [table[t] for t in ([w] if size == 0 else language_id.grams_of(w, size)) if t in table])), [])
+            for r in rows:
+                score = [a + b / len(rows) for a, b in zip(score, r, strict=True)]
+        out[i] = langs[score.index(max(score))] if words else "und"
+    return out
+
+
+def test_language_against_brute_force(spark, documents):
+    rows = [(r["doc_id"], language_id.words_of((r["text"] or "").encode())[:60], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in documents.collect()]
+    docs = spark.createDataFrame([(i, " ".join(w), lang) for i, w, lang, _ in rows], "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    want = brute_language(rows)
+    assert found == want and len(set(want.values())) > 3
+
+
 def test_language_odd(spark, odd, empty):
     found = language_id.identify(odd).collect()
     assert len(found) == odd.count()
@@ -141,12 +185,40 @@ def test_quality_counts(text):
 
 
 def test_quality_order_does_not_decide(spark, documents, odd, empty):
-    a = {(r["doc_id"], r["kept"]) for r in quality.cascade(documents).collect()}
+    one = quality.cascade(documents).collect()
+    a = {(r["doc_id"], r["kept"]) for r in one}
     b = {(r["doc_id"], r["kept"]) for r in quality.cascade(documents, rules=quality.RULES[::-1], sample_size=3).collect()}
     assert a == b and any(k for _, k in a) and not all(k for _, k in a)
+    assert {r["doc_id"]: r["rejected_by"] for r in one} == {r["doc_id"]: r["rejected_by"] for r in quality.cascade(documents.repartition(3)).collect()}
     assert quality.ordered(quality.RULES[:2], {"too_short": (1.0, 0.5), "repeats": (0.1, 0.4)})[0][0] == "repeats"
-    assert quality.cascade(odd).count() == odd.count() and quality.cascade(empty).count() == 0
-    assert not any(r["kept"] for r in quality.cascade(odd.filter("doc_id <= 3")).collect())
+    assert quality.cascade(odd, statistics=quality.STATISTICS).count() == odd.count() and quality.cascade(empty).count() == 0
+    by = {r["doc_id"]: (r["kept"], r["n_words"]) for r in quality.cascade(odd, statistics=("n_words",)).collect() if r["doc_id"] is not None}
+    assert by == {1: (False, 0), 2: (False, 0), 3: (False, 0), 4: (False, 160_000), 5: (False, 60), 6: (False, 60), 7: (False, 1), 8: (False, 7)}
+
+
+def test_quality_order_saves_work(spark):
+    """A rejected document meets no further rule, and the estimated order does less work than the opposite one."""
+    good = " ".join(f"word{i} here" for i in range(100))
+    texts = [good] * 5 + ["12 34 " * 100] * 20 + ["# " * 300 + good] * 60 + ["short"] * 15
+    docs = spark.createDataFrame([(i, t + f" {i}") for i, t in enumerate(texts)], "doc_id long, text string")
+    order = quality.ordered(quality.RULES, quality.estimate(docs, quality.RULES))
+    steps = {name: sum(r["steps"] for r in quality.cascade(docs, order=o).collect()) for name, o in (("best", order), ("worst", order[::-1]))}
+    assert steps["best"] < 0.7 * steps["worst"]
+    rules = [("first", lambda d: not d.text.startswith(b"word0")), ("costly", lambda d: d.n_repeat_words < 0)]
+    assert {(r["kept"], r["steps"] > 0) for r in quality.cascade(docs, order=rules).collect()} == {(True, True), (False, False)}
+
+
+def test_quality_rules_against_brute_force(spark, documents):
+    found = {r["doc_id"]: r["kept"] for r in quality.cascade(documents).collect()}
+    for r in documents.collect():
+        text = r["text"] or ""
+        n_words, chars, symbols, dup, repeat = brute_quality(text)
+        words, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        letters = sum(bool(re.search(r"[A-Za-z]|[^\x00-\x7F]", w)) for w in words)
+        cut = sum(bool(re.search(r"(\.\.\.|…)[\x20\x09-\x0D]*$", x)) for x in lines)
+        top = max((words.count(w) for w in set(words)), default=0) if n_words < 3_000 else max(Counter(words).values())
+        bad = n_words < 50 or 100 * repeat > 50 * n_words or symbols > n_words or 2 * dup > len(lines) or chars < 2 * n_words or chars > 20 * n_words
+        assert found[r["doc_id"]] == (not (bad or 10 * letters < 6 * n_words or 10 * top > 3 * n_words or 10 * cut > 3 * len(lines))), r["doc_id"]
 
 
 # --- WARC
@@ -159,7 +231,8 @@ def pages(spark, rows):
 def test_warc_round_trip(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     rows = [(1, "http://a/ b\n", "x"), (2, None, None), (3, "u", ""), (4, "u", fake * 3 + "é"), (5, "u", "same"), (6, "u", "same"), (7, "u", "same"), (8, "u", fake), (9, "u", "\r\n\r\n"), (10, "u", "WARC/1.1\r\n")]
-    warc.write_archives(pages(spark, rows).repartition(2), str(tmp_path / "a"), records_per_file=4)
+    warc.write_archives(pages(spark, rows).repartition(2), str(tmp_path / "a"), volume_bytes=900)
+    assert len(list((tmp_path / "a").glob("part-*"))) > 2
     found = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
     assert sorted(found) == list(range(1, 11))
     for i, _, html in rows:
@@ -181,6 +254,21 @@ def test_warc_threshold_and_odd(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "d")).count() == 0
 
 
+def test_warc_decoys(spark, tmp_path):
+    """Files full of record starts, nested and without headers, are read in one pass and give their records only."""
+    content = b"WARC/1.1\r\n" * 100_000
+    assert list(warc.candidates(content)) == [] and list(warc.candidates(content + b"Content-Length: 0\r\n\r\n" + b"\r\n\r\n"))[-1] == (999_990, 1_000_025)
+    head = "WARC/1.1\r\nContent-Length: {}\r\n\r\n"
+    nested = "x"
+    for _ in range(30):
+        nested = head.format(len(nested)) + nested + "\r\n\r\n"
+    rows = [(1, "u", nested), (2, "u", "WARC/1.1\r\n" * 2_000), (3, "u", nested + "y")]
+    warc.write_archives(pages(spark, rows).coalesce(1), str(tmp_path / "n"))
+    for limit in (20_000, 0):
+        found = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_archives(spark, str(tmp_path / "n"), broadcast_files=limit).collect()}
+        assert found == {i: html for i, _, html in rows}
+
+
 # --- packing
 
 
@@ -214,25 +302,39 @@ def test_best_fit_decreasing(lengths):
 
 
 def test_packing_is_lossless(spark, documents, odd, empty, tmp_path):
+    end = np.array([ENCODER.end], "<u2").tobytes()
     for docs in (documents, odd):
-        packed = packing.pack(docs, BPE, row_length=128, docs_per_shard=64, block_tokens=20_000)
-        rows = packed.collect()
+        want = sorted((str(r["doc_id"]), at // 2, whole[at : at + 256]) for r in docs.collect() for whole in [ENCODER.raw(r["text"] or "") + end] for at in range(0, len(whole), 256))
         pieces = []
-        for r in rows:
+        for r in packing.pack(docs, BPE, row_length=128, shard_bytes=100_000, block_tokens=20_000).collect():
             ids, pos = np.frombuffer(r["input_ids"], "<u2"), np.frombuffer(r["position_ids"], "<u2")
             assert len(ids) == len(pos) == r["n_tokens"] == r["cu_seqlens"][-1] <= 128
             for a, b, s in zip(r["cu_seqlens"], r["cu_seqlens"][1:], r["segments"], strict=False):
                 assert pos[a:b].tolist() == list(range(b - a)) and s["length"] == b - a
                 pieces.append((s["doc_id"], s["first"], ids[a:b].tobytes()))
-        end = np.array([ENCODER.end], "<u2").tobytes()
-        want = sorted((str(r["doc_id"]), at // 2, whole[at : at + 256]) for r in docs.collect() for whole in [ENCODER.raw(r["text"] or "") + end] for at in range(0, len(whole), 256))
         assert sorted((str(i), f, x) for i, f, x in pieces) == want
-    packing.write_packed(packing.pack(documents, BPE, row_length=128), str(tmp_path / "m"), row_length=128, rows_per_matrix=100)
-    for m in spark.read.parquet(str(tmp_path / "m")).collect():
-        assert len(m["ids"]) == len(m["positions"]) == m["n_rows"] * 256 and m["cu_seqlens"][-1] == m["n_rows"] * 128
-        starts = np.flatnonzero(np.frombuffer(m["positions"], "<u2") == 0).tolist()
-        assert starts == m["cu_seqlens"][:-1]
-    assert packing.pack(empty, BPE).count() == 0
+        packing.write_packed(docs, BPE, str(tmp_path / str(len(want))), row_length=128, rows_per_matrix=100, pad=7, shard_bytes=100_000, block_tokens=20_000)
+        pieces, matrices = [], spark.read.parquet(str(tmp_path / str(len(want)))).collect()
+        for m in matrices:
+            ids, pos = np.frombuffer(m["ids"], "<u2"), np.frombuffer(m["positions"], "<u2")
+            assert len(ids) == len(pos) == m["n_rows"] * 128 == m["cu_seqlens"][-1] and m["n_rows"] <= 100
+            assert np.flatnonzero(pos == 0).tolist() == m["cu_seqlens"][:-1]
+            at, segments = 0, list(m["segments"])
+            for a, b in zip(m["cu_seqlens"], m["cu_seqlens"][1:], strict=False):
+                if segments and segments[0]["length"] == b - a and not (b % 128 == 0 and (ids[a:b] == 7).all()):
+                    s = segments.pop(0)
+                    pieces.append((s["doc_id"], s["first"], ids[a:b].tobytes()))
+                    at += b - a
+                else:
+                    assert (ids[a:b] == 7).all() and b % 128 == 0
+            assert not segments and at == m["n_tokens"]
+        assert sorted((str(i), f, x) for i, f, x in pieces) == want and len(matrices) > 1
+    assert packing.pack(empty, BPE).count() == 0 and packing.matrices(empty, BPE).count() == 0
+
+
+def test_shards_have_a_task_each(spark, documents):
+    rows = packing.pack(documents, BPE, shard_bytes=50_000).selectExpr("shard", "spark_partition_id() as task").distinct().collect()
+    assert len(rows) == len({r["shard"] for r in rows}) == len({r["task"] for r in rows}) > 4
 
 
 # --- line deduplication
@@ -252,22 +354,28 @@ def brute_lines(rows, min_chars, min_docs):
     return out
 
 
-@pytest.mark.parametrize(("batch", "fanout", "cap"), [(10_000, 4, 500_000), (30, 2, 0), (7, 3, 500_000)])
-def test_lines_against_brute_force(spark, documents, batch, fanout, cap):
+@pytest.mark.parametrize(("batches", "fanout", "cap"), [(1, 4, 500_000), (6, 4, 0), (7, 3, 500_000)])
+def test_lines_against_brute_force(spark, documents, batches, fanout, cap):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     rows += [(1000 + i, f"own line {i}\n  A Shared LINE é of enough characters to count \nx\n\n") for i in range(9)] + [(2000, None), (2001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs, 20, 3, batch, fanout, cap).select("_row.doc_id", "n_lines", "n_dropped", "kept").collect()}
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in line_dedup.dedup_lines(docs, 20, 3, batches, fanout, cap).select("_row.doc_id", "n_lines", "n_dropped", "kept").collect()}
     assert found == brute_lines(rows, 20, 3) and sum(v[1] for v in found.values()) > 8
 
 
 def test_runs_are_levelled(spark):
-    runs = line_dedup.Runs(spark, fanout=2)
-    for b in range(5):
-        runs.add(spark.createDataFrame([(b * 10 + i, i, i) for i in range(b, b + 4)], "doc_id long, h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {(r["h1"], r["n_docs"], r["last_doc"]) for r in runs.all().collect()} >= {(0, 1, 0), (3, 4, 33), (7, 1, 47)}
-    assert [r["h1"] for r in runs.new_lines(spark.createDataFrame([(1, 3, 3), (1, 99, 99)], "doc_id long, h1 long, h2 long")).collect()] == [99]
+    """Batches by falling doc_id: a line's keeper is the document of the batch that brought it first."""
+    with line_dedup.Runs(spark, fanout=2) as runs:
+        for b in range(5):
+            runs.add(spark.createDataFrame([(1000 - b * 10 - i, i, i) for i in range(b, b + 4)], "doc_id long, h1 long, h2 long"))
+            assert runs.new_lines(spark.createDataFrame([(1, b, b), (1, 99, 99)], "doc_id long, h1 long, h2 long")).select("h1").collect() == [(99,)]
+        assert [len(x) for x in runs.levels] == [1, 0, 1] and runs.compactions == 3
+        found = {r["h1"]: (r["n_docs"], r["last_doc"]) for r in runs.all().collect()}
+        assert found == {i: (sum(b <= i < b + 4 for b in range(5)), 1000 - max(0, i - 3) * 10 - i) for i in range(8)}
+        names = runs.names
+        plan = runs.new_lines(spark.range(9).selectExpr("id as h1", "id as h2"))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == len(names) and plan.count("Exchange hashpartitioning") == 1  # runs are not dealt again
+    assert not [n for n in names if spark.catalog.tableExists(n)]
 
 
 def test_lines_odd(spark, odd, empty):
@@ -318,6 +426,42 @@ def test_leaks_against_brute_force(spark, documents, sf):
     assert len(found) > 20
 
 
+def test_window_index_recall(spark):
+    """Windows of a similarity of 0.8 to 0.9: the block tables give every item within the radius, and the radius nearly all."""
+    rng = np.random.default_rng(5)
+    items = [[f"w{rng.integers(3_000)}" for _ in range(rng.integers(40, 200))] for _ in range(60)]
+    index = decontamination.Benchmark([(n, " ".join(w)) for n, w in enumerate(items)])
+    wanted = found = 0
+    for n, item in enumerate(items):
+        for edits in range(1, 1 + max(1, len(item) // 28)):
+            words = list(item)
+            for at in rng.choice(len(words), edits, replace=False):
+                words[at] = f"new{rng.integers(10_000)}"
+            value = decontamination.similarity(decontamination.weighted([w.encode() for w in words], 5), decontamination.weighted([w.encode() for w in item], 5))
+            if 0.8 <= value < 0.95:
+                wanted += 1
+                found += n in [m[0] for m in index.matches(" ".join([*items[n - 1][:30], *words, *items[n - 2][:30]]))]
+    assert wanted > 60 and found >= 0.98 * wanted, (found, wanted)
+    prints = index.prints.copy()
+    for row in range(len(prints)):
+        bits = np.unpackbits(prints[row].astype(">u2").view(np.uint8))
+        flip = rng.choice(128, index.radius, replace=False)
+        bits[flip] ^= 1
+        assert row in index.near(np.packbits(bits).view(">u2").astype(np.uint16)[None, :])[0].tolist()
+
+
+def test_long_item_needs_little_memory():
+    rng = np.random.default_rng(6)
+    words = [f"w{rng.integers(500)}" for _ in range(20_000)]
+    index = decontamination.Benchmark([(1, " ".join(words)), (2, "again and again " * 6_000)])
+    tracemalloc.start()
+    assert index.matches(" ".join(["lead", *words, "tail"])) == [(1, 1.0, 1, 20_000)]
+    assert index.matches("x " + "again and again " * 5_900)[0][0] == 2
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300_000_000, peak
+
+
 def test_leaks_odd(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same words in this text same words in this text"), (2, None), (3, ""), (None, "alpha beta gamma delta alpha beta gamma")], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(odd, bench).collect()}

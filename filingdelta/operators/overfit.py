@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingdelta.operators.stats import correlation
+
 NORMAL = NormalDist()
 
 
@@ -27,10 +29,17 @@ def deflated_sharpe(sr: float, threshold: float, n: int, skew: float, kurtosis:
     return NORMAL.cdf((sr - threshold) * math.sqrt(n - 1) / math.sqrt(spread)) if spread > 0 else float("nan")
 
 
+def common_months(trials: DataFrame, variant: str = "variant", month: str = "month") -> DataFrame:
+    """The rows of the months that all variants have."""
+    whole = trials.agg(F.count_distinct(variant).alias("n_variants"))
+    kept = trials.groupBy(month).agg(F.count_distinct(variant).alias("n")).join(F.broadcast(whole), F.col("n") == F.col("n_variants")).select(month)  # one row
+    return trials.join(kept, month, "left_semi")
+
+
 def participation_ratio(trials: DataFrame, variant: str = "variant", month: str = "month", r: str = "ls") -> DataFrame:
     """Effective number of variants: N squared over the sum of the squared correlations, from pairwise sums."""
-    other = trials.select(F.col(variant).alias("_o"), month, F.col(r).alias("_r"))
-    pairs = trials.join(other, month).groupBy(variant, "_o").agg(F.corr(r, "_r").alias("c"))
+    other = trials.select(F.col(variant).alias("other"), month, F.col(r).alias("other_ret"))
+    pairs = trials.join(other, month).groupBy(variant, "other").agg(correlation(r, "other_ret").alias("c"))
     return pairs.agg((F.pow(F.countDistinct(variant).cast("double"), F.lit(2.0)) / F.sum(F.col("c") * F.col("c"))).alias("n_eff"))
 
 
@@ -63,8 +72,9 @@ def cscv(matrix: np.ndarray, splits: int = 16) -> dict:
 
 
 def report(trials: DataFrame, variant: str = "variant", month: str = "month", r: str = "ls", splits: int = 16) -> dict:
-    """The best variant on the months that all variants have, its deflated Sharpe ratios and CSCV figures."""
-    wide = trials.groupBy(month).pivot(variant).agg(F.first(r)).dropna().orderBy(month).toPandas().set_index(month)
+    """The best variant on the months that all variants have, its deflated Sharpe ratios and CSCV figures. The table of
+    months by variants comes to the driver: some hundred months by some hundred variants."""
+    wide = common_months(trials, variant, month).groupBy(month).pivot(variant).agg(F.first(r)).dropna().orderBy(month).toPandas().set_index(month)
     x = wide.to_numpy(float)
     sr = x.mean(axis=0) / x.std(axis=0, ddof=1)
     best = int(np.argmax(sr))

@@ -8,45 +8,63 @@ from pyspark.sql import functions as F
 
 from filingdelta.functions import text as X
 from filingdelta.functions.dates import month_index
-from filingdelta.operators import diagnostics, filings, overfit, portfolio, ranking, similarity, stats
+from filingdelta.operators import diagnostics, filings, overfit, portfolio, ranking, similarity, stats, variants
 from filingdelta.plans import views as V
 from filingdelta.session import ship
 from filingdelta.sources import sinks
+from filingdelta.storage import materialize
+
+COST_BPS, MIN_NAMES, DRAWS = 10.0, 5, 200
 
 
 def rounded(df: DataFrame, digits: int = 7) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return V.text_filings(spark, sf).withColumn("score", F.round((F.col("doc_id") * 7919 % 1000003) / F.lit(1000003.0), 9))
+def ranked(spark, sf):
+    return ranking.rank_cohort(V.scored(spark, sf), "score", 5)
 
 
-def ranked(spark, sf):
-    return ranking.rank_cohort(scored(spark, sf).drop("text"), "score", 5)
+def calendar_of(spark, sf):
+    return portfolio.trading_calendar(V.trading_days(spark, sf))
+
+
+def returns_of(spark, sf, calendar):
+    return portfolio.daily_returns(V.prices(spark, sf), calendar)
+
 
+def quantiles_of(spark, sf, every_day=False, rank=ranked):
+    calendar = calendar_of(spark, sf)
+    positions = portfolio.build_positions(rank(spark, sf), calendar)
+    return portfolio.quantile_returns(portfolio.held_days(positions, returns_of(spark, sf, calendar), calendar), calendar, every_day=every_day)
 
-def positions_of(spark, sf):
-    daily = V.prices(spark, sf)
-    calendar = portfolio.trading_calendar(daily)
-    return daily, calendar, portfolio.build_positions(ranked(spark, sf), calendar)
 
+def monthly_of(spark, sf, min_names=MIN_NAMES):
+    """Months of the main portfolio, stored: a few hundred rows that the statistics read again and again."""
+    return materialize(portfolio.to_monthly(portfolio.long_short(quantiles_of(spark, sf), 5, COST_BPS, min_names)), "months")
 
-def quantiles_of(spark, sf):
-    daily, calendar, positions = positions_of(spark, sf)
-    weights = portfolio.held_weights(positions, portfolio.daily_returns(daily, calendar), calendar)
-    return portfolio.quantile_returns(weights, calendar)
 
+def series_of(spark, sf):
+    """The groups' months in excess of the riskless rate and the long-short months, stored."""
+    quantiles = materialize(quantiles_of(spark, sf), "quantiles")  # a row a day and group
+    months = portfolio.to_monthly(portfolio.long_short(quantiles, 5, COST_BPS, MIN_NAMES))
+    return materialize(stats.portfolio_series(portfolio.quantile_months(quantiles, months), months, factors_of(spark, sf)), "series")
 
-def monthly_of(spark, sf):
-    return portfolio.to_monthly(portfolio.long_short(quantiles_of(spark, sf), 5, 10.0, min_names=1))
+
+def factors_of(spark, sf):
+    return stats.monthly_factors(V.daily_factors(spark, sf), [*V.MODELS["FF5+MOM"], "RF"])
+
+
+def index_of(spark, sf):
+    """The index of surrogate filings: their accession is the document's id."""
+    f = V.text_filings(spark, sf)
+    return f.select(F.col("ticker").alias("cik"), "ticker", F.col("doc_id").alias("accession"), "fiscal_year", "report_date", "filing_date", "text")
 
 
 def pairs_of(spark, sf):
     """Consecutive filings with both texts of at least 200 characters."""
-    f = V.text_filings(spark, sf)
-    index = f.select(F.col("ticker").alias("cik"), F.col("doc_id").alias("accession"), "fiscal_year", "report_date", "filing_date", (F.length("text") >= 200).alias("long"))
-    pairs = filings.pair_consecutive(index).filter("long").join(index.filter("long").select(F.col("accession").alias("prev_accession")), "prev_accession")
+    f = index_of(spark, sf).withColumn("long", F.length("text") >= 200).drop("text")
+    pairs = filings.pair_consecutive(f).filter("long").join(f.filter("long").select(F.col("accession").alias("prev_accession")), "prev_accession")
     return pairs.select(F.col("accession").alias("doc_id"), F.col("prev_accession").alias("prev_doc_id"), month_index(F.col("filing_date")).alias("month"))
 
 
@@ -91,7 +109,18 @@ def q_jaccard_pairs(spark, sf):
 
 def q_pit_cosine_pairs(spark, sf):
     f = V.text_filings(spark, sf).select("doc_id", month_index(F.col("filing_date")).alias("month"))
-    return rounded(similarity.pit_cosine(similarity.term_counts(V.table(spark, sf, "documents")), f, pairs_of(spark, sf)))
+    counts = materialize(similarity.term_counts(V.table(spark, sf, "documents")), "terms")
+    return rounded(similarity.pit_cosine(counts, f, pairs_of(spark, sf)))
+
+
+def q_similarity_sections(spark, sf):
+    """All six scores of consecutive filings; item 1A is the first half of a text, item 7 the second."""
+    index = index_of(spark, sf)
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(*[F.struct(F.lit(n).alias("section"), t.alias("text")) for n, t in (("full", F.col("text")), ("1A", F.substring("text", F.lit(1), half)), ("7", F.substring("text", half + 1, F.length("text"))))])
+    sections = index.select("accession", F.explode(parts).alias("x")).select("accession", "x.section", "x.text")
+    found = similarity.compute_similarity(index.drop("text"), sections, min_bytes=200)
+    return rounded(found.select("accession", "prev_accession", "fiscal_year", *[f"{m}_{s}" for s in ("full", "1a", "7") for m in ("cos", "jac", "len")]))
 
 
 def q_embedding_cosine(spark, sf):
@@ -112,20 +141,30 @@ def q_extract_item(spark, sf):
     return found.select("doc_id", F.length("s").cast("long").alias("n_1a"), F.length("u").cast("long").alias("n_7"))
 
 
+def q_process_corpus(spark, sf):
+    """Sections of every page: each is parsed once."""
+    ship(spark)
+    body = F.concat(F.lit("<html><body><p>Item 1A. Risk Factors</p>"), F.coalesce("html", F.lit("")), F.lit("<p>Item 1B. Unresolved Staff Comments</p></body></html>"))
+    return X.section_texts(V.table(spark, sf, "pages").select("page_id", body.alias("content"))).select("page_id", "section", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def q_similarity_by_year(spark, sf):
     s = similarity.term_counts(V.table(spark, sf, "documents")).groupBy("doc_id").agg(F.count("*").cast("double").alias("terms"))
     return rounded(sinks.box_stats(V.text_filings(spark, sf).select("doc_id", "fiscal_year").join(s, "doc_id"), "fiscal_year", "terms"))
 
 
 def q_first_trading_day(spark, sf):
-    calendar = portfolio.trading_calendar(V.prices(spark, sf))
     f = V.text_filings(spark, sf).select("doc_id", "filing_date")
-    return portfolio.first_trading_day(f, "filing_date", calendar).select("doc_id", "entry")
+    return portfolio.first_trading_day(f, "filing_date", calendar_of(spark, sf)).select("doc_id", "entry")
 
 
 def q_daily_returns(spark, sf):
-    daily = V.prices(spark, sf)
-    return rounded(portfolio.daily_returns(daily, portfolio.trading_calendar(daily)))
+    return rounded(returns_of(spark, sf, calendar_of(spark, sf)))
+
+
+def q_forward_returns(spark, sf):
+    found = portfolio.forward_returns(V.scored(spark, sf), V.prices(spark, sf), calendar_of(spark, sf))
+    return rounded(found.select("doc_id", "fwd12"))
 
 
 def q_qcut_ntile(spark, sf):
@@ -133,39 +172,52 @@ def q_qcut_ntile(spark, sf):
 
 
 def q_trailing_ntile(spark, sf):
-    return ranking.rank_trailing(scored(spark, sf).drop("text"), "score", "filing_date", 5).select("doc_id", "quantile")
+    return ranking.rank_trailing(V.scored(spark, sf), "score", "filing_date", 5).select("doc_id", "quantile")
 
 
 def q_positions(spark, sf):
-    return positions_of(spark, sf)[2].select("doc_id", "quantile", "entry", "exit")
+    return portfolio.build_positions(ranked(spark, sf), calendar_of(spark, sf)).select("doc_id", "quantile", "entry", "exit")
 
 
 def q_quantile_daily(spark, sf):
-    return rounded(quantiles_of(spark, sf).select("quantile", "day", "ret", F.col("n").cast("long").alias("n"), "turnover"))
+    return rounded(quantiles_of(spark, sf, every_day=True).select("quantile", "day", "ret", "n", "turnover"))
 
 
 def q_ls_daily(spark, sf):
-    d = portfolio.long_short(quantiles_of(spark, sf), 5, 10.0, min_names=1)
-    return rounded(d.select("day", "ls", "ls_net", "turnover", F.col("n_long").cast("long").alias("n_long"), F.col("n_short").cast("long").alias("n_short")))
+    d = portfolio.long_short(quantiles_of(spark, sf, every_day=True), 5, COST_BPS, MIN_NAMES)
+    return rounded(d.select("day", "ls", "ls_net", "turnover", "n_long", "n_short"))
 
 
-def q_monthly_returns(spark, sf):
-    m = monthly_of(spark, sf)
-    return rounded(m.select("month", "ls", "ls_net", "turnover", F.col("n_long").cast("long").alias("n_long"), F.col("n_short").cast("long").alias("n_short")))
+def q_monthly_returns(spark, sf, min_names=MIN_NAMES):
+    m = portfolio.to_monthly(portfolio.long_short(quantiles_of(spark, sf), 5, COST_BPS, min_names))
+    return rounded(m.select("month", "ls", "ls_net", "turnover", "n_long", "n_short"))
+
+
+def q_quantile_months(spark, sf):
+    quantiles = materialize(quantiles_of(spark, sf), "quantiles")
+    return rounded(portfolio.quantile_months(quantiles, portfolio.to_monthly(portfolio.long_short(quantiles, 5, COST_BPS, MIN_NAMES))))
 
 
 def q_monthly_factors(spark, sf):
-    return rounded(stats.monthly_factors(V.daily_factors(spark, sf), ["mkt", "smb", "hml"]))
+    return rounded(factors_of(spark, sf).select("month", "mkt", "smb", "hml", "RF"))
 
 
 def long_series(spark, sf):
-    m = monthly_of(spark, sf)
-    return m.select(F.lit("LS").alias("portfolio"), "month", F.col("ls").alias("ret")).unionByName(m.select(F.lit("LS_net").alias("portfolio"), "month", F.col("ls_net").alias("ret")))
+    both = F.array(F.struct(F.lit("LS").alias("portfolio"), F.col("ls").alias("ret")), F.struct(F.lit("LS_net").alias("portfolio"), F.col("ls_net").alias("ret")))
+    return monthly_of(spark, sf).select("month", F.explode(both).alias("x")).select("x.portfolio", "month", "x.ret")
 
 
 def q_summary_stats(spark, sf):
-    s = stats.evaluate(long_series(spark, sf), ["portfolio"], "month")
-    return rounded(s, 5)
+    return rounded(stats.evaluate(long_series(spark, sf), ["portfolio"], "month"), 5)
+
+
+def q_quantile_table(spark, sf):
+    """evaluate() of every group in excess of the riskless rate, and of LS and LS_net."""
+    return rounded(stats.evaluate(series_of(spark, sf), ["portfolio"], "month"), 5)
+
+
+def q_evaluate_portfolio(spark, sf):
+    return rounded(stats.evaluate_portfolio(series_of(spark, sf), factors_of(spark, sf), V.MODELS)[0], 5)
 
 
 def q_cum_wealth(spark, sf):
@@ -173,20 +225,36 @@ def q_cum_wealth(spark, sf):
 
 
 def q_ff_alpha(spark, sf):
-    factors = stats.monthly_factors(V.daily_factors(spark, sf), ["mkt", "smb", "hml"])
-    return rounded(stats.alphas(long_series(spark, sf), factors, ["portfolio"], "month", models={"CAPM": ["mkt"], "FF3": ["mkt", "smb", "hml"]}).drop("betas"), 5)
+    return rounded(stats.alphas(long_series(spark, sf), factors_of(spark, sf), ["portfolio"], "month", models=V.MODELS).drop("betas"), 5)
+
+
+def q_capm_alpha(spark, sf):
+    """The one-factor model of every portfolio, whose HAC errors SQL can say too."""
+    found = stats.alphas(series_of(spark, sf), factors_of(spark, sf), ["portfolio"], "month", models={"CAPM": V.MODELS["CAPM"]})
+    return rounded(found.select("portfolio", "alpha_ann_pct", "t_stat", "n_obs", "r2", F.col("betas")["mkt"].alias("beta")), 5)
+
+
+def correlations_of(spark, sf):
+    """Rank correlations of each of the six scores with the twelve months after, by fiscal year."""
+    rows = portfolio.forward_returns(V.scored(spark, sf), V.prices(spark, sf), calendar_of(spark, sf))
+    each = F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).alias("value")) for c in V.SCORES])
+    long = rows.select("fiscal_year", "fwd12", F.explode(each).alias("x")).select("fiscal_year", "fwd12", "x.score", "x.value")
+    return stats.rank_correlations(long, "value", "fwd12", ["score", "fiscal_year"])
 
 
 def q_rank_correlations(spark, sf):
-    s = scored(spark, sf).select("fiscal_year", "score", F.length("text").cast("double").alias("size"))
-    return rounded(stats.rank_correlations(s, "score", "size"))
+    return rounded(correlations_of(spark, sf))
+
+
+def q_rank_summary(spark, sf):
+    return rounded(stats.rank_summary(correlations_of(spark, sf), ["score"]), 5)
 
 
 def events_of(spark, sf):
-    daily = V.prices(spark, sf)
+    calendar, daily = calendar_of(spark, sf), V.prices(spark, sf)
     bench = V.benchmark(daily).withColumn("ticker", F.lit(-1).cast("long"))
-    base = diagnostics.first_day_prices(bench).select("month", "price")
-    return diagnostics.event_returns(ranked(spark, sf), diagnostics.first_day_prices(daily), base)
+    base = diagnostics.first_day_prices(bench, calendar).select("month", "price")
+    return diagnostics.event_returns(ranked(spark, sf), diagnostics.first_day_prices(daily, calendar), base)
 
 
 def q_event_time_returns(spark, sf):
@@ -198,70 +266,140 @@ def q_event_time_car(spark, sf):
 
 
 def q_shuffle_within_cohorts(spark, sf):
-    s = scored(spark, sf).select("doc_id", "fiscal_year", "score")
+    s = V.scored(spark, sf).select("doc_id", "fiscal_year", "score")
     return diagnostics.shuffle_within(s, "score", "fiscal_year", "doc_id", F.col("doc_id") * 104729 % 1000003)
 
 
 def variant_series(spark, sf):
-    """Months of nine variants, 3, 5 and 10 groups by lags of 0 to 2 months, in one job: only the extreme groups are held."""
-    daily = V.prices(spark, sf)
-    calendar = portfolio.trading_calendar(daily)
-    rets = portfolio.daily_returns(daily, calendar)
-    positions = None
-    for n in (3, 5, 10):
-        top = ranking.rank_cohort(scored(spark, sf).drop("text"), "score", n).filter(F.col("quantile").isin(1, n)).withColumn("quantile", F.when(F.col("quantile") == 1, 1).otherwise(2))
-        for lag in (0, 1, 2):
-            one = portfolio.build_positions(top, calendar, lag).withColumn("variant", F.lit(f"q{n}|lag{lag}"))
-            positions = one if positions is None else positions.unionByName(one)
-    weights = portfolio.held_weights(positions, rets, calendar, ["variant"])
-    daily_ls = portfolio.long_short(portfolio.quantile_returns(weights, calendar, ["variant"]), 2, 10.0, 1, ["variant"])
-    return portfolio.to_monthly(daily_ls, ["variant"])
+    """Months of all 54 variants, stored."""
+    calendar = calendar_of(spark, sf)
+    return materialize(variants.variant_months(V.scored(spark, sf), returns_of(spark, sf, calendar), calendar, list(V.SCORES), cost_bps=COST_BPS, min_names=MIN_NAMES), "variants")
 
 
 def q_variant_grid(spark, sf):
-    return rounded(stats.summary(variant_series(spark, sf), ["variant"], "ls"), 5)
+    months = variant_series(spark, sf)
+    found = stats.summary(months, ["variant"], "ls")
+    net = stats.summary(months, ["variant"], "ls_net").select("variant", F.col("sharpe").alias("sharpe_net"))
+    return rounded(found.join(net, "variant"), 5)
+
+
+def q_variant_alphas(spark, sf):
+    """The six-factor alpha and t of every variant."""
+    found = stats.alphas(variant_series(spark, sf), factors_of(spark, sf), ["variant"], "month", "ls", {"FF5+MOM": V.MODELS["FF5+MOM"]})
+    return rounded(found.select("variant", "alpha_ann_pct", "t_stat", "n_obs"), 5)
 
 
 def q_participation_ratio(spark, sf):
-    return rounded(overfit.participation_ratio(variant_series(spark, sf)), 5)
+    return rounded(overfit.participation_ratio(overfit.common_months(variant_series(spark, sf))), 5)
 
 
 def q_overfitting(spark, sf):
-    found = overfit.report(variant_series(spark, sf), splits=8)
+    found = overfit.report(variant_series(spark, sf))
     return spark.createDataFrame([tuple(v.item() if isinstance(v, np.generic) else v for v in found.values())], list(found))
 
 
 def q_bootstrap_ci(spark, sf):
-    r = [x["ls"] for x in monthly_of(spark, sf).orderBy("month").select("ls").collect()]
-    lo, hi = stats.sharpe_ci(np.array(r))
-    return spark.createDataFrame([(float(lo), float(hi))], "ci_low double, ci_high double")
+    return rounded(stats.sharpe_intervals(long_series(spark, sf), ["portfolio"], "month"), 7)
+
+
+def q_robustness(spark, sf):
+    """The main portfolio, the trailing ranking and two sub-periods."""
+    main = monthly_of(spark, sf)
+
+    def trailing(spark, sf):
+        return ranking.rank_filings(V.scored(spark, sf), "score", 5, "trailing")
+
+    other = portfolio.to_monthly(portfolio.long_short(quantiles_of(spark, sf, rank=trailing), 5, COST_BPS, MIN_NAMES))
+    parts = [("main", main), ("trailing", other), ("to 1996", portfolio.between(main, end="1996-12-31")), ("from 1997", portfolio.between(main, start="1997-01-01"))]
+    rows = [m.select(F.lit(name).alias("specification"), "month", F.col("ls").alias("ret")) for name, m in parts]
+    series = materialize(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]), "specifications")
+    return rounded(stats.evaluate(series, ["specification"], "month"), 5)
+
+
+def placebo_series(spark, sf, draws=DRAWS):
+    """Months of the main portfolio with shuffled scores, stored."""
+    calendar = calendar_of(spark, sf)
+    key = (F.col("doc_id") * 7919 + (F.col("draw") + 1) * 104729) * (F.col("draw") * 2 + 7) % 1000003
+    return materialize(variants.placebo_months(V.scored(spark, sf), "score", "doc_id", returns_of(spark, sf, calendar), calendar, draws, 5, key, MIN_NAMES), "placebo")
 
 
 def q_placebo(spark, sf):
-    """Sharpe ratios of 20 shuffles of the scores, one job with the draw as a column."""
-    s = scored(spark, sf).drop("text").crossJoin(F.broadcast(spark.range(20).select(F.col("id").cast("int").alias("draw"))))
-    mixed = diagnostics.shuffle_within(s, "score", "draw,fiscal_year", "doc_id", (F.col("doc_id") * 7919 + (F.col("draw") + 1) * 104729) * (F.col("draw") * 2 + 7) % 1000003)
-    daily = V.prices(spark, sf)
-    calendar = portfolio.trading_calendar(daily)
-    cohort = mixed.withColumn("cohort", F.col("draw") * 10000 + F.col("fiscal_year"))
-    top = ranking.rank_cohort(cohort, "score", 5, "cohort").filter("quantile in (1, 5)")
-    weights = portfolio.held_weights(portfolio.build_positions(top, calendar), portfolio.daily_returns(daily, calendar), calendar, ["draw"])
-    months = portfolio.to_monthly(portfolio.long_short(portfolio.quantile_returns(weights, calendar, ["draw"]), 5, 0.0, 1, ["draw"]), ["draw"])
-    return rounded(stats.summary(months, ["draw"], "ls"), 5)
+    return rounded(stats.summary(placebo_series(spark, sf), ["draw"], "ls"), 5)
+
+
+def q_placebo_summary(spark, sf):
+    """The draws' distribution beside the main portfolio's and the best variant's Sharpe ratio."""
+    months = placebo_series(spark, sf)
+    t = stats.alphas(months, factors_of(spark, sf), ["draw"], "month", "ls", {"FF5+MOM": V.MODELS["FF5+MOM"]}).select("draw", "t_stat")
+    actual = stats.summary(monthly_of(spark, sf), [], "ls").first()["sharpe"]
+    best = stats.summary(overfit.common_months(variant_series(spark, sf)), ["variant"], "ls").agg(F.max("sharpe")).first()[0]
+    return rounded(diagnostics.placebo_summary(stats.summary(months, ["draw"], "ls").join(t, "draw"), actual, best), 5)
 
 
 def queries() -> dict:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 
 
+def rounded_sql(columns: str, digits: int) -> str:
+    """round() of the columns, but for those with a star in front."""
+    return ", ".join(c[1:] if c[0] == "*" else f"round({c}, {digits}) AS {c}" for c in columns.split())
+
+
+STATS = "*n_months mean_ann_pct vol_ann_pct sharpe hit_rate"
+EVALUATED = STATS + " *nw_lags t_mean_nw max_drawdown_pct"
+
+
 def oracle_sql() -> dict[str, str]:
     f, t, p, w = V.ORDER_FILINGS, V.TEXT_FILINGS, V.PRICES, V.WEIGHTS
-    series = w + ", se AS (SELECT 'LS' AS portfolio, month, ls AS ret FROM mo UNION ALL SELECT 'LS_net', month, ls_net FROM mo)"
-    event = V.RANKED + ", " + p + """, fd AS (SELECT year(date) * 12 + month(date) AS month, min(date) AS date FROM cal GROUP BY 1),
-      sp AS (SELECT ticker, fd.month, price FROM prices JOIN fd USING (date)), bp AS (SELECT fd.month, avg(price) AS price FROM prices JOIN fd USING (date) GROUP BY 1),
-      ev AS (SELECT r.ticker, r.fiscal_year, r.quantile, k::INT AS event_month, b.price / a.price - 1 AS ret, d.price / c.price - 1 AS bench, b.price / a.price - d.price / c.price AS abnormal
-        FROM rk r CROSS JOIN range(1, 13) g(k) JOIN sp a ON a.ticker = r.ticker AND a.month = year(filing_date) * 12 + month(filing_date) + k
-        JOIN sp b ON b.ticker = r.ticker AND b.month = a.month + 1 JOIN bp c ON c.month = a.month JOIN bp d ON d.month = a.month + 1 WHERE a.price IS NOT NULL AND b.price IS NOT NULL)"""
+    series = w + ", se AS MATERIALIZED (SELECT 'LS' AS portfolio, month, ls AS ret FROM mo UNION ALL SELECT 'LS_net', month, ls_net FROM mo)"
+    factors = "fm AS MATERIALIZED (SELECT last_day(date) AS month, product(1 + mkt) - 1 AS mkt, product(1 + rf) - 1 AS rf FROM (SELECT l_shipdate::DATE AS date, (avg(l_discount) - 0.05) / 10 AS mkt, 0.0001::DOUBLE AS rf FROM lineitem GROUP BY 1) GROUP BY 1)"
+    months = "qm AS MATERIALIZED (SELECT quantile, last_day(date) AS month, product(1 + ret) - 1 AS ret FROM qd WHERE ret IS NOT NULL AND last_day(date) IN (SELECT month FROM mo) GROUP BY 1, 2)"
+    excess = w + f", {months}, {factors}, se AS MATERIALIZED (SELECT 'Q' || quantile AS portfolio, month, ret - rf AS ret FROM qm JOIN fm USING (month) UNION ALL SELECT 'LS', month, ls FROM mo UNION ALL SELECT 'LS_net', month, ls_net FROM mo)"
+    event = V.RANKED + ", " + p + """, fd AS MATERIALIZED (SELECT year(date) * 12 + month(date) AS month, min(date) AS date FROM cal GROUP BY 1),
+      sp AS MATERIALIZED (SELECT ticker, fd.month, price FROM prices JOIN fd USING (date) WHERE price IS NOT NULL), bp AS MATERIALIZED (SELECT fd.month, avg(price) AS price FROM prices JOIN fd USING (date) GROUP BY 1),
+      sr AS MATERIALIZED (SELECT a.ticker, a.month, b.price / a.price - 1 AS ret FROM sp a JOIN sp b ON a.ticker = b.ticker AND b.month = a.month + 1),
+      br AS MATERIALIZED (SELECT a.month, b.price / a.price - 1 AS bench FROM bp a JOIN bp b ON b.month = a.month + 1),
+      em AS MATERIALIZED (SELECT ticker, fiscal_year, quantile, k::INT AS event_month, year(filing_date) * 12 + month(filing_date) + k AS month FROM (SELECT *, unnest(range(1, 13)) AS k FROM rk)),
+      ev AS MATERIALIZED (SELECT e.ticker, e.fiscal_year, e.quantile, e.event_month, ret, bench, ret - bench AS abnormal FROM em e JOIN sr s ON s.ticker = e.ticker AND s.month = e.month JOIN br b ON b.month = e.month)"""
+    scores = ", ".join(f"('{c}')" for c in V.SCORES)
+    value = "CASE name " + " ".join(f"WHEN '{c}' THEN {c}" for c in V.SCORES) + " END"
+    grid = V.SCORED + ", " + p + f""", lo AS (SELECT name, ticker, fiscal_year, filing_date, {value} AS value FROM sc CROSS JOIN (VALUES {scores}) x(name)),
+      rn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY name, fiscal_year ORDER BY value, ticker) AS r, count(*) OVER (PARTITION BY name, fiscal_year) AS n FROM lo),
+      vr AS MATERIALIZED (SELECT name || '|q' || top || '|lag' || lag AS variant, ticker, filing_date, lag, top, quantile FROM
+        (SELECT *, {V.GROUP.format(k='top')} AS quantile FROM rn CROSS JOIN (VALUES (3), (5), (10)) g(top) WHERE n >= 2 * top) CROSS JOIN (VALUES (0), (1), (2)) l(lag)), {V.portfolio_sql('variant', 0.001)}"""
+    common = "cm AS (SELECT month FROM vm GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT variant) FROM vm))"
+    placebo = V.SCORED + ", " + p + f""", dr AS (SELECT doc_id, ticker, fiscal_year, filing_date, score, unnest(range(0, {DRAWS}))::INT AS draw FROM sc),
+      da AS (SELECT *, row_number() OVER (PARTITION BY draw, fiscal_year ORDER BY doc_id) AS k FROM dr),
+      db AS (SELECT draw, fiscal_year, score, row_number() OVER (PARTITION BY draw, fiscal_year ORDER BY (doc_id * 7919 + (draw + 1) * 104729) * (draw * 2 + 7) % 1000003, doc_id) AS k FROM dr),
+      ds AS (SELECT da.draw, da.ticker, da.fiscal_year, da.filing_date, db.score FROM da JOIN db USING (draw, fiscal_year, k)),
+      rn AS (SELECT *, row_number() OVER (PARTITION BY draw, fiscal_year ORDER BY score, ticker) AS r, count(*) OVER (PARTITION BY draw, fiscal_year) AS n FROM ds),
+      vr AS MATERIALIZED (SELECT draw, ticker, filing_date, 0 AS lag, 5 AS top, {V.GROUP.format(k=5)} AS quantile FROM rn WHERE n >= 10), {V.portfolio_sql('draw', 0.0)}"""
+    forward = V.SCORED + ", " + p + """, fx AS (SELECT *, (date_trunc('month', filing_date) + INTERVAL 1 MONTH)::DATE AS m1, (date_trunc('month', filing_date) + INTERVAL 13 MONTH)::DATE AS m2 FROM sc),
+      fa AS MATERIALIZED (SELECT m, min(c.date) AS date FROM (SELECT m1 AS m FROM fx UNION SELECT m2 FROM fx) x JOIN cal c ON c.date >= m GROUP BY 1),
+      fw AS MATERIALIZED (SELECT fx.*, b.price / a.price - 1 AS fwd12 FROM fx LEFT JOIN fa x ON x.m = m1 LEFT JOIN fa y ON y.m = m2 LEFT JOIN prices a ON a.ticker = fx.ticker AND a.date = x.date LEFT JOIN prices b ON b.ticker = fx.ticker AND b.date = y.date)"""
+    correlations = forward + f""", cl AS MATERIALIZED (SELECT name AS score, fiscal_year, {value} AS value, fwd12 FROM fw CROSS JOIN (VALUES {scores}) x(name) WHERE fwd12 IS NOT NULL),
+      cr AS (SELECT score, fiscal_year, rank() OVER (PARTITION BY score, fiscal_year ORDER BY value) + (count(*) OVER (PARTITION BY score, fiscal_year, value) - 1) / 2.0 AS a,
+        rank() OVER (PARTITION BY score, fiscal_year ORDER BY fwd12) + (count(*) OVER (PARTITION BY score, fiscal_year, fwd12) - 1) / 2.0 AS b FROM cl),
+      cc AS (SELECT score, fiscal_year, count(*)::BIGINT AS n, corr(a, b) AS rho FROM cr GROUP BY 1, 2 HAVING count(*) >= 20)"""
+    sections = t + r""", se AS MATERIALIZED (SELECT doc_id, s.section, s.text FROM (SELECT doc_id, unnest([{'section': 'full', 'text': text}, {'section': '1a', 'text': substr(text, 1, length(text) // 2)},
+        {'section': '7', 'text': substr(text, length(text) // 2 + 1)}]) AS s FROM documents)),
+      tf AS MATERIALIZED (SELECT section, doc_id, term, count(*) AS tf FROM (SELECT section, doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))) AS term FROM se) GROUP BY ALL),
+      pr AS MATERIALIZED (SELECT doc_id, prev_doc_id, fiscal_year, month FROM (SELECT doc_id, fiscal_year, lag(doc_id) OVER w AS prev_doc_id, lag(report_date) OVER w AS prd, report_date,
+        (year(filing_date) * 12 + month(filing_date))::INT AS month FROM ft WINDOW w AS (PARTITION BY ticker ORDER BY report_date, doc_id)) WHERE report_date - prd BETWEEN 270 AND 500),
+      mm AS MATERIALIZED (SELECT doc_id, (year(filing_date) * 12 + month(filing_date))::INT AS m FROM ft),
+      oc AS MATERIALIZED (SELECT section, term, m, count(*) AS n FROM tf JOIN mm USING (doc_id) GROUP BY ALL),
+      sd AS (SELECT doc_id AS cur, prev_doc_id AS prv, month, doc_id AS of, 1 AS c FROM pr UNION ALL SELECT doc_id, prev_doc_id, month, prev_doc_id, 0 FROM pr),
+      bo AS MATERIALIZED (SELECT section, cur, prv, month, term, sum(tf * c) AS a, sum(tf * (1 - c)) AS b FROM sd JOIN tf ON tf.doc_id = sd.of GROUP BY ALL),
+      qd AS (SELECT DISTINCT section, term, month FROM bo),
+      d AS MATERIALIZED (SELECT q.section, q.term, q.month, coalesce(sum(oc.n), 0) AS df FROM qd q LEFT JOIN oc ON oc.section = q.section AND oc.term = q.term AND oc.m < q.month GROUP BY ALL),
+      nn AS (SELECT q.month, count(mm.doc_id) AS n FROM (SELECT DISTINCT month FROM pr) q LEFT JOIN mm ON mm.m < q.month GROUP BY 1),
+      g AS (SELECT bo.*, ln((1.0::DOUBLE + nn.n) / (1.0::DOUBLE + d.df)) + 1 AS w FROM bo JOIN d USING (section, term, month) JOIN nn USING (month)),
+      sim AS MATERIALIZED (SELECT section, cur, prv, sum(a * w * b * w) / nullif(sqrt(sum(a * w * a * w)) * sqrt(sum(b * w * b * w)), 0) AS cos, sum(CASE WHEN a > 0 AND b > 0 THEN 1.0::DOUBLE ELSE 0 END) / count(*) AS jac FROM g GROUP BY ALL),
+      al AS (SELECT pr.doc_id, pr.prev_doc_id, pr.fiscal_year, x.section, coalesce(strlen(x.text), 0) AS size, coalesce(strlen(y.text), 0) AS before, cos, jac FROM pr JOIN se x ON x.doc_id = pr.doc_id
+        JOIN se y ON y.doc_id = pr.prev_doc_id AND y.section = x.section LEFT JOIN sim ON sim.section = x.section AND sim.cur = pr.doc_id AND sim.prv = pr.prev_doc_id)"""
+    wide = ", ".join(f"round(max(cos) FILTER (WHERE section = '{s}' AND size >= 200 AND before >= 200), 7) AS cos_{s}, round(max(jac) FILTER (WHERE section = '{s}' AND size >= 200 AND before >= 200), 7) AS jac_{s}, max(size) FILTER (WHERE section = '{s}')::BIGINT AS len_{s}" for s in ("full", "1a", "7"))
+    robust = w + ", mo1 AS MATERIALIZED (SELECT * FROM mo), " + trailing_months() + """, se AS MATERIALIZED (SELECT 'main' AS specification, month, ls AS ret FROM mo1 UNION ALL SELECT 'trailing', month, ls FROM vm
+      UNION ALL SELECT 'to 1996', month, ls FROM mo1 WHERE month <= DATE '1996-12-31' UNION ALL SELECT 'from 1997', month, ls FROM mo1 WHERE month >= DATE '1997-01-01')"""
     return {
         "annual_filings": f"""WITH {f}, a AS (SELECT *, year(report_date - 15)::INT AS fiscal_year, row_number() OVER (PARTITION BY cik, report_date ORDER BY filing_date, accession) AS r
             FROM f WHERE form <> '10-K/A' AND year(report_date - 15) BETWEEN 1992 AND 1998)
@@ -285,6 +423,7 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT bo.*, ln((1.0::DOUBLE + nn.n) / (1.0::DOUBLE + d.df)) + 1 AS w FROM bo JOIN d USING (term, month) JOIN nn USING (month))
             SELECT doc_id, prev_doc_id, round(sum(a * w * b * w) / nullif(sqrt(sum(a * w * a * w)) * sqrt(sum(b * w * b * w)), 0), 7) AS cosine,
               round(sum(CASE WHEN a > 0 AND b > 0 THEN 1.0::DOUBLE ELSE 0 END) / count(*), 7) AS jaccard FROM g GROUP BY ALL""",
+        "similarity_sections": f"WITH {sections} SELECT doc_id AS accession, prev_doc_id AS prev_accession, fiscal_year, {wide} FROM al GROUP BY ALL",
         "embedding_cosine": """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1""",
         "similarity_by_year": f"""WITH {PAIRS}, s AS (SELECT fiscal_year, n::DOUBLE AS v FROM ft JOIN (SELECT doc_id, count(*) AS n FROM tf GROUP BY 1) USING (doc_id)),
             q AS (SELECT fiscal_year, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q75 FROM s GROUP BY 1)
@@ -292,33 +431,42 @@ def oracle_sql() -> dict[str, str]:
             WHERE v BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) GROUP BY ALL""",
         "first_trading_day": f"WITH {t}, {p} SELECT doc_id, (SELECT min(date) FROM cal WHERE date >= m) AS entry FROM (SELECT doc_id, (date_trunc('month', filing_date) + INTERVAL 1 MONTH)::DATE AS m FROM ft)",
         "daily_returns": f"WITH {p} SELECT ticker, day, round(ret, 7) AS ret FROM rets",
+        "forward_returns": f"WITH {forward} SELECT doc_id, round(fwd12, 7) AS fwd12 FROM fw",
         "qcut_ntile": f"WITH {V.RANKED} SELECT doc_id, quantile FROM rk",
-        "trailing_ntile": f"""WITH {V.SCORED}, g AS (SELECT a.doc_id, count(*) AS n, sum(CASE WHEN b.score < a.score THEN 1 ELSE 0 END) AS c FROM sc a JOIN sc b ON b.filing_date <= a.filing_date AND b.filing_date > a.filing_date - 365 GROUP BY 1)
-            SELECT doc_id, CASE WHEN n >= 10 THEN least(floor(c::DOUBLE / n * 5) + 1, 5)::INT END AS quantile FROM g""",
+        "trailing_ntile": f"WITH {V.SCORED}, {V.TRAILING} SELECT doc_id, quantile FROM tr",
         "positions": f"WITH {V.POSITIONS} SELECT doc_id, quantile, entry, exit FROM ps2",
         "quantile_daily": f"WITH {w} SELECT quantile, day, round(ret, 7) AS ret, n::BIGINT AS n, round(turnover, 7) AS turnover FROM qd",
         "ls_daily": f"WITH {w} SELECT day, round(ls, 7) AS ls, round(ls_net, 7) AS ls_net, round(turnover, 7) AS turnover, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM ls",
         "monthly_returns": f"WITH {w} SELECT month, round(ls, 7) AS ls, round(ls_net, 7) AS ls_net, round(turnover, 7) AS turnover, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM mo",
-        "monthly_factors": """WITH d AS (SELECT l_shipdate::DATE AS date, (avg(l_discount) - 0.05) / 10 AS mkt, (avg(l_tax) - 0.04) / 10 AS smb, (avg(l_quantity) - 25) / 5000 AS hml FROM lineitem GROUP BY 1)
-            SELECT last_day(date) AS month, round(product(1 + mkt) - 1, 7) AS mkt, round(product(1 + smb) - 1, 7) AS smb, round(product(1 + hml) - 1, 7) AS hml FROM d GROUP BY 1""",
-        "summary_stats": f"""WITH {series}, a AS (SELECT *, count(*) OVER v AS n, ret - avg(ret) OVER v AS e, avg(ret) OVER v AS m, row_number() OVER (PARTITION BY portfolio ORDER BY month) AS i FROM se WINDOW v AS (PARTITION BY portfolio)),
-            b AS (SELECT *, floor(4 * pow(n / 100.0, 2.0 / 9.0))::INT AS lg FROM a),
-            s AS (SELECT x.portfolio, sum(CASE WHEN x.i = y.i THEN 1.0 ELSE 2 * (1 - (x.i - y.i)::DOUBLE / (x.lg + 1)) END * x.e * y.e) AS s, any_value(x.m) AS m, any_value(x.n) AS n, any_value(x.lg) AS lg FROM b x JOIN b y ON x.portfolio = y.portfolio AND x.i - y.i BETWEEN 0 AND x.lg GROUP BY 1),
-            c AS (SELECT portfolio, month, product(1 + ret) OVER (PARTITION BY portfolio ORDER BY month) AS wealth FROM se),
-            d AS (SELECT portfolio, min(wealth / pk - 1) AS md FROM (SELECT *, max(wealth) OVER (PARTITION BY portfolio ORDER BY month) AS pk FROM c) GROUP BY 1)
-            SELECT portfolio, count(*)::BIGINT AS n_months, round(avg(ret) * 1200, 5) AS mean_ann_pct, round(stddev_samp(ret) * sqrt(12) * 100, 5) AS vol_ann_pct, round(avg(ret) / stddev_samp(ret) * sqrt(12), 5) AS sharpe,
-              round(avg((ret > 0)::INT), 5) AS hit_rate, any_value(lg) AS nw_lags, round(any_value(m / (sqrt(s) / n)), 5) AS t_mean_nw, round(any_value(md), 5) AS max_drawdown
-            FROM se JOIN s USING (portfolio) JOIN d USING (portfolio) GROUP BY 1""",
+        "quantile_months": f"WITH {w}, {months} SELECT quantile, month, round(ret, 7) AS ret FROM qm",
+        "monthly_factors": """WITH d AS (SELECT l_shipdate::DATE AS date, (avg(l_discount) - 0.05) / 10 AS mkt, (avg(l_tax) - 0.04) / 10 AS smb, (avg(l_quantity) - 25) / 5000 AS hml, 0.0001::DOUBLE AS rf FROM lineitem GROUP BY 1)
+            SELECT last_day(date) AS month, round(product(1 + mkt) - 1, 7) AS mkt, round(product(1 + smb) - 1, 7) AS smb, round(product(1 + hml) - 1, 7) AS hml, round(product(1 + rf) - 1, 7) AS "RF" FROM d GROUP BY 1""",
+        "summary_stats": f"WITH {series}, {V.evaluate_sql('se', 'portfolio')} SELECT portfolio, {rounded_sql(EVALUATED, 5)} FROM ev",
+        "quantile_table": f"WITH {excess}, {V.evaluate_sql('se', 'portfolio')} SELECT portfolio, {rounded_sql(EVALUATED, 5)} FROM ev",
+        "capm_alpha": f"""WITH {excess}, x AS MATERIALIZED (SELECT portfolio, month, ret AS y, mkt AS x FROM se JOIN fm USING (month)),
+            r AS (SELECT portfolio, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, regr_intercept(y, x) AS a, regr_slope(y, x) AS b, regr_r2(y, x) AS r2, floor(4 * pow(count(*) / 100.0, 2.0 / 9.0))::INT AS lg FROM x GROUP BY 1),
+            u AS MATERIALIZED (SELECT x.portfolio, row_number() OVER (PARTITION BY x.portfolio ORDER BY month) AS i, lg, (sxx - sx * x) * (y - a - b * x) / (n * sxx - sx * sx) AS v FROM x JOIN r ON r.portfolio = x.portfolio),
+            s AS (SELECT p.portfolio, sum(CASE WHEN p.i = q.i THEN 1.0 ELSE 2 * (1 - (p.i - q.i)::DOUBLE / (p.lg + 1)) END * p.v * q.v) AS s FROM u p JOIN u q ON p.portfolio = q.portfolio AND p.i - q.i BETWEEN 0 AND p.lg GROUP BY 1)
+            SELECT r.portfolio, round(a * 1200, 5) AS alpha_ann_pct, round(a / sqrt(s), 5) AS t_stat, n::BIGINT AS n_obs, round(r2, 5) AS r2, round(b, 5) AS beta FROM r JOIN s USING (portfolio)""",
         "cum_wealth": f"""WITH {series}, c AS (SELECT portfolio, month, product(1 + ret) OVER (PARTITION BY portfolio ORDER BY month) AS wealth FROM se)
             SELECT portfolio, month, round(wealth, 6) AS wealth, round(wealth / max(wealth) OVER (PARTITION BY portfolio ORDER BY month) - 1, 6) AS drawdown FROM c""",
-        "rank_correlations": f"""WITH {V.SCORED}, r AS (SELECT fiscal_year, rank() OVER (PARTITION BY fiscal_year ORDER BY score) + (count(*) OVER (PARTITION BY fiscal_year, score) - 1) / 2.0 AS a,
-              rank() OVER (PARTITION BY fiscal_year ORDER BY length(text)) + (count(*) OVER (PARTITION BY fiscal_year, length(text)) - 1) / 2.0 AS b FROM sc)
-            SELECT fiscal_year, count(*)::BIGINT AS n, round(corr(a, b), 7) AS rho FROM r GROUP BY 1 HAVING count(*) >= 20""",
+        "rank_correlations": f"WITH {correlations} SELECT score, fiscal_year, n, round(rho, 7) AS rho FROM cc",
+        "rank_summary": f"WITH {correlations} SELECT score, round(avg(rho), 5) AS mean_rank_corr, round(avg(rho) / stddev_samp(rho) * sqrt(count(*)), 5) AS t_stat, count(*)::BIGINT AS n_years, round(avg((rho > 0)::INT), 5) AS share_positive FROM cc GROUP BY 1",
         "event_time_returns": f"WITH {event} SELECT ticker, fiscal_year, quantile, event_month, round(ret, 7) AS ret, round(bench, 7) AS bench, round(abnormal, 7) AS abnormal FROM ev",
         "event_time_car": f"""WITH {event}, b AS (SELECT fiscal_year, event_month, avg(abnormal) FILTER (WHERE quantile = 1) AS lo, avg(abnormal) FILTER (WHERE quantile = 5) AS hi FROM ev GROUP BY ALL),
             c AS (SELECT event_month, sum(lo) OVER v AS lo, sum(hi) OVER v AS hi, sum(hi - lo) OVER v AS ls FROM b WHERE lo IS NOT NULL AND hi IS NOT NULL WINDOW v AS (PARTITION BY fiscal_year ORDER BY event_month))
-            SELECT event_month, round(avg(lo), 7) AS q_low_car, round(avg(hi), 7) AS q_high_car, round(avg(ls), 7) AS ls_car, round(stddev_samp(ls) / sqrt(count(*)), 7) AS ls_se, count(*)::BIGINT AS n_cohorts FROM c GROUP BY 1""",
+            SELECT event_month, round(avg(lo), 7) AS q_low_car, round(avg(hi), 7) AS q_high_car, round(avg(ls), 7) AS ls_car, round(stddev_samp(ls) / sqrt(count(*)), 7) AS ls_se, count(*)::BIGINT AS n_cohorts, any_value(n_filings)::BIGINT AS n_filings FROM c JOIN (SELECT event_month, count(*) AS n_filings FROM ev GROUP BY 1) USING (event_month) GROUP BY 1""",
         "shuffle_within_cohorts": f"""WITH {V.SCORED}, a AS (SELECT doc_id, fiscal_year, row_number() OVER (PARTITION BY fiscal_year ORDER BY doc_id) AS k FROM sc),
             b AS (SELECT fiscal_year, score, row_number() OVER (PARTITION BY fiscal_year ORDER BY doc_id * 104729 % 1000003, doc_id) AS k FROM sc)
             SELECT a.doc_id, a.fiscal_year, b.score FROM a JOIN b USING (fiscal_year, k)""",
+        "variant_grid": f"""WITH {grid}, a AS (SELECT variant, month, ls AS ret FROM vm), b AS (SELECT variant, month, ls_net AS ret FROM vm)
+            SELECT x.variant, {rounded_sql(STATS, 5).replace("round(", "round(x.").replace("n_months", "x.n_months")}, round(y.sharpe, 5) AS sharpe_net FROM ({V.stats_sql('a', 'variant')}) x JOIN ({V.stats_sql('b', 'variant')}) y ON x.variant = y.variant""",
+        "participation_ratio": f"WITH {grid}, {common}, c AS (SELECT a.variant, corr(a.ls, b.ls) AS c FROM vm a JOIN vm b USING (month) WHERE month IN (SELECT month FROM cm) GROUP BY a.variant, b.variant) SELECT round(pow(count(DISTINCT variant), 2) / sum(c * c), 5) AS n_eff FROM c",
+        "robustness": f"WITH {robust}, {V.evaluate_sql('se', 'specification')} SELECT specification, {rounded_sql(EVALUATED, 5)} FROM ev",
+        "placebo": f"WITH {placebo}, a AS (SELECT draw, month, ls AS ret FROM vm) SELECT draw, {rounded_sql(STATS, 5)} FROM ({V.stats_sql('a', 'draw')})",
     }
+
+
+def trailing_months() -> str:
+    """CTEs vm of the trailing ranking, beside those of WEIGHTS."""
+    return V.TRAILING + ", vr AS MATERIALIZED (SELECT 1 AS spec, ticker, filing_date, 0 AS lag, 5 AS top, tr.quantile FROM sc JOIN tr USING (doc_id) WHERE tr.quantile IS NOT NULL), " + V.portfolio_sql("spec", 0.001)

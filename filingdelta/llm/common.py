@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,91 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from filingdelta.session import ship
+from filingdelta.storage import Scratch, delete_path, freed_shuffles, materialize, new_path, small, work_folder  # noqa: F401
 
 #: Translation that lower-cases A-Z and leaves every other byte alone; for UTF-8 it touches ASCII letters only.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is spark.checkpoint.dir where the session names one. Where it is
-    unset, a folder of this machine is taken if the executors are threads of it, as in tests; on a cluster it must be set."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="filingdelta-"))
-    return context.getCheckpointDir().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@contextmanager
-def freed_shuffles(spark: SparkSession):
-    """Jobs that write inside leave no shuffle files behind: what they wrote replaces them."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: it cuts the lineage, outlives a lost executor, and the shuffle
-    files that it took are freed at once."""
-    path = new_path(df.sparkSession, name)
-    with freed_shuffles(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables in the shared folder that one operator needs for a while: all are deleted when the block ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        for name in list(self.paths):
-            self.drop(name)
-
-    def path(self, name: str) -> str:
-        """A path for a table of that name."""
-        self.paths[name] = new_path(self.spark, name)
-        return self.paths[name]
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """materialize, until the block ends or the name is dropped."""
-        path = self.path(name)
-        with freed_shuffles(self.spark):
-            df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            delete_path(self.spark, self.paths.pop(name))
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for a broadcast if it has at most so many rows; else joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 #: Objects of this worker that hold tables made for one operator; another operator's task frees them.
 HOLDERS: list = []
 

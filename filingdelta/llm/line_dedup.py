@@ -13,12 +13,13 @@ from __future__ import annotations
 import struct
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingdelta.llm.common import ASCII_LOWER, Scratch, delete_path, freed_shuffles, map_columns, materialize, new_path, small, whole_row
+from filingdelta.llm.common import ASCII_LOWER, Scratch, delete_path, freed_shuffles, map_columns, materialize, new_path, share, whole_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 CONTINUES = bytes(range(0x80, 0xC0))
@@ -143,56 +144,113 @@ def batches_of(docs: DataFrame, batches: int) -> list[int]:
     return sorted(set(cuts or []))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int, broadcast_rows: int) -> DataFrame:
-    """Rows (doc_id, hashes array<struct<h1,h2>>) of the documents that lose lines, in the shared folder."""
-    spark = docs.sparkSession
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """hashed_lines, rows of one doc_id being one document."""
     lines = hashed_lines(docs, min_chars)
-    if not docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        lines = lines.distinct()  # rows of one doc_id are one document
+    several = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
+    return lines if several.isEmpty() else lines.distinct()
+
+
+def repeated_lines(lines: DataFrame, docs: DataFrame, min_docs: int, batches: int, fanout: int, tmp: Scratch) -> DataFrame:
+    """Rows (h1, h2, n_docs, last_doc) of the lines that min_docs documents hold, kept in tmp: every batch merges with the
+    runs of those before it and adds its own."""
+    spark = docs.sparkSession
     cuts = batches_of(docs.select("doc_id"), batches)
     batch = sum(((F.col("doc_id") <= c).cast("int") for c in cuts), F.lit(0))  # 0: the largest doc_ids
-    with Scratch(spark) as tmp, Runs(spark, fanout) as runs:
-        table = tmp.path("lines")
-        with freed_shuffles(spark):
-            lines.withColumn("batch", batch).write.partitionBy("batch").parquet(table)
-        stored = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(table)
+    table = tmp.path("lines")
+    with freed_shuffles(spark):
+        lines.withColumn("batch", batch).write.partitionBy("batch").parquet(table)
+    stored = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(table)
+    with Runs(spark, fanout) as runs:
         for b in range(len(cuts) + 1):
             runs.add(stored.filter(F.col("batch") == b).select("doc_id", "h1", "h2"))
         often = tmp.keep(runs.all().filter(F.col("n_docs") >= min_docs), "often")
-        gone = stored.select("doc_id", "h1", "h2").join(small(often, broadcast_rows), ["h1", "h2"]).filter("doc_id <> last_doc")
-        return materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hashes")), "dropped")
+    tmp.drop("lines")
+    return often
+
+
+class Repeated:
+    """The repeated lines, sorted, with the document that keeps each."""
 
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, keeper: np.ndarray):
+        order = np.lexsort((h2, h1))
+        self.h1, self.h2, self.keeper = h1[order], h2[order], keeper[order]
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 6, fanout: int = 4, broadcast_rows: int = 100_000) -> DataFrame:
+    def goes(self, owners: list[int], hashes: list[tuple[int, int]]) -> np.ndarray:
+        """Whether the line of each (owner, hash) goes from its owner."""
+        out = np.zeros(len(hashes), dtype=bool)
+        if len(hashes) and len(self.h1):
+            own, (a, b) = np.array(owners), np.array(hashes, dtype=np.int64).T
+            at = np.searchsorted(self.h1, a)
+            while (open_ := np.flatnonzero((at < len(self.h1)) & ~out)).size:  # equal h1 but for another h2: hardly ever twice
+                open_ = open_[self.h1[at[open_]] == a[open_]]
+                out[open_] = (self.h2[at[open_]] == b[open_]) & (self.keeper[at[open_]] != own[open_])
+                at = np.where(np.isin(np.arange(len(at)), open_), at + 1, len(self.h1))
+        return out
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 6, fanout: int = 4, broadcast_rows: int = 2_000_000) -> DataFrame:
     """Rows (_row, n_lines, n_dropped, kept), one per row of docs, _row being the whole row.
 
     A text is split at \\n; a line's key is the line without ASCII white space at its ends, A-Z lower-cased. Keys of at
     least min_chars code points that at least min_docs documents hold lose all their lines except in the largest doc_id.
     Null and empty texts are one empty line, which stays. Rows with a null doc_id neither count as holders nor lose
     lines; rows of one doc_id are one document. The documents are taken in `batches` parts, whatever their number, so the
-    number of jobs is fixed. What is sent to all executors, the repeated lines and then those to drop, is at most
-    broadcast_rows rows; beyond, both sides are dealt by line and by doc_id."""
-    gone = dropped_lines(docs, min_chars, min_docs, batches, fanout, broadcast_rows)
-    few = gone.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    right = gone.select(F.col("doc_id").alias("_g"), "hashes")
+    number of jobs is fixed. Up to broadcast_rows repeated lines (24 bytes each) are sent to all executors, and every
+    document is cleaned where it is read; beyond, what each document loses is joined by line and then by doc_id."""
+    spark = docs.sparkSession
     packed = whole_row(docs, F.col("doc_id").alias("_k"), F.col("text").alias("_t"))
-    joined = packed.join(F.broadcast(right) if few <= broadcast_rows else right, F.col("_k") == F.col("_g"), "left")
 
-    @F.pandas_udf("n_lines long, n_dropped long, kept string")
-    def keep(texts: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+    def cleaned(texts, lost) -> pd.DataFrame:
+        """lost(texts): for each text the lines to drop, as booleans, or None."""
         out = []
-        for text, drop in zip(texts, hashes, strict=True):
-            raw = text or ""
-            n = raw.count("\n") + 1
-            if drop is None or len(drop) == 0:
-                out.append((n, 0, raw))
-                continue
-            bad = {(h["h1"], h["h2"]) for h in drop}
-            kept = [x for x in raw.split("\n") if line_hash(x.encode(), min_chars) not in bad]
-            out.append((n, n - len(kept), "\n".join(kept)))
+        for text, drop in zip(texts, lost, strict=True):
+            lines = text.split("\n")
+            kept = lines if drop is None else [x for x, gone in zip(lines, drop, strict=True) if not gone]
+            out.append((len(lines), len(lines) - len(kept), text if drop is None else "\n".join(kept)))
         return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
 
-    return joined.select("_row", keep("_t", "hashes").alias("_o")).select("_row", "_o.n_lines", "_o.n_dropped", "_o.kept")
+    with Scratch(spark) as tmp:
+        lines = distinct_lines(docs, min_chars)
+        often = repeated_lines(lines, docs, min_docs, batches, fanout, tmp)
+        if often.count() <= broadcast_rows:
+            found = often.select("h1", "h2", "last_doc").toArrow()
+            shared = share(spark, Repeated(*(found.column(k).to_numpy() for k in range(3))))
+
+            @F.pandas_udf("n_lines long, n_dropped long, kept string")
+            def keep(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+                texts = [t or "" for t in texts]
+                owners, hashes, places = [], [], []
+                for row, (i, text) in enumerate(zip(ids, texts, strict=True)):
+                    if not pd.isna(i) and len(text) >= min_chars:
+                        for at, line in enumerate(text.split("\n")):
+                            if len(line) >= min_chars and (h := line_hash(line.encode(), min_chars)):
+                                owners.append(int(i))
+                                hashes.append(h)
+                                places.append((row, at))
+                lost: list[np.ndarray | None] = [None] * len(texts)
+                for k in np.flatnonzero(shared.value.goes(owners, hashes)).tolist():
+                    row, at = places[k]
+                    if lost[row] is None:
+                        lost[row] = np.zeros(texts[row].count("\n") + 1, dtype=bool)
+                    lost[row][at] = True
+                return cleaned(texts, lost)
+
+            # a double would lose the last digits of a large doc_id next to a null
+            return packed.select("_row", keep(F.col("_k").cast("string"), "_t").alias("_o")).select("_row", "_o.n_lines", "_o.n_dropped", "_o.kept")
+        gone = lines.join(often.select("h1", "h2", "last_doc"), ["h1", "h2"]).filter("doc_id <> last_doc")
+        gone = materialize(gone.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("hashes")), "dropped")
+
+    @F.pandas_udf("n_lines long, n_dropped long, kept string")
+    def drop(texts: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        texts, lost = [t or "" for t in texts], []
+        for text, own in zip(texts, hashes, strict=True):
+            bad = {(h["h1"], h["h2"]) for h in own} if own is not None else set()
+            lost.append([line_hash(x.encode(), min_chars) in bad for x in text.split("\n")] if bad else None)
+        return cleaned(texts, lost)
+
+    joined = packed.join(gone.select(F.col("doc_id").alias("_g"), "hashes"), F.col("_k") == F.col("_g"), "left")
+    return joined.select("_row", drop("_t", "hashes").alias("_o")).select("_row", "_o.n_lines", "_o.n_dropped", "_o.kept")
 
 
 def drop_repeated_lines(docs: DataFrame, **parameters: int) -> DataFrame:

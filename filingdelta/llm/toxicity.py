@@ -96,7 +96,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
     max_labelled bounds the labelled rows that are used, those whose hashed doc_id falls below the share that meets it;
     max_words bounds the words and word beginnings a category may choose, by the size of the z statistic between its two classes, which must
     be at least 4. Labels with a null doc_id or flag and labels without a document are left out; of several labels of one
-    document a set flag wins; of several documents of one label each counts. Folds are by hash of doc_id."""
+    document a set flag wins; of several rows of documents with one labelled doc_id the text of the smallest hash counts, so
+    what comes to the driver is bounded by labels. Folds are by hash of doc_id."""
     categories = categories or default_categories()
     names = [n for n, _ in categories]
     flags = labels.filter(F.col("doc_id").isNotNull()).select("doc_id", *[c.alias(f"y{k}") for k, (_, c) in enumerate(categories)]).dropna()
@@ -104,6 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[tuple[str, Column]]
     share = min(1.0, max_labelled / max(1, flags.count()))
     drawn = flags.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most about max_labelled rows
+    once = texts.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    texts = once.join(F.broadcast(drawn), "doc_id")
 
     def distinct_words():
         def body(*columns):

@@ -19,6 +19,12 @@ BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def pieces(spark):
+    global PIECES
+    PIECES = sentencepiece_lattice.load_pieces(spark, MODEL)
+
+
 # --- language identification
 
 
@@ -495,6 +501,26 @@ def test_encoding_is_the_librarys(spark, documents, odd):
     assert all(back[i] == (t[0] or "") for i, t in texts.items() if i is not None and len(t) == 1 and "▁" not in (t[0] or ""))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abeinorst▁the0")), min_size=1, max_size=40))
+def test_long_chunks(text):
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    at = PIECES.cut_long("▁" + text)
+    ids = [i for a, b in zip(at, at[1:], strict=False) for i in PIECES.ids_of(("▁" + text)[a:b])]
+    assert ids == sp.encode(text)
+
+
+def test_viterbi_of_merges(spark):
+    """The fold over admissible borders gives the merges' own pieces for words of every kind."""
+    rng = np.random.default_rng(9)
+    letters = list("etaoinshrdlucmfwypvbgkqjxz") + ["th", "he", "in", "er", "an", "ing", "tion"]
+    words = ["▁" + "".join(rng.choice(letters, rng.integers(1, 14))) for _ in range(3_000)]
+    chunks = spark.createDataFrame([(w, 1) for w in sorted(set(words)) if len(w) <= 60], "chunk string, n long").repartition(2, "chunk")
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = sentencepiece_lattice.segment(chunks, PIECES).collect()
+    assert len(found) > 2_500 and all(PIECES.unpack(bytes(r["ids"])) == sp.encode(r["chunk"][1:]) for r in found)
+
+
 def test_viterbi(spark):
     names = ["<unk>", "▁", "a", "b", "ab", "▁a", "ba", "bab", "▁ab"]
     scores = [0.0, -2.0, -2.5, -2.6, -3.0, -3.1, -3.05, -4.0, -6.0]

@@ -124,6 +124,14 @@ def quantile_months(quantiles: DataFrame, months: DataFrame, keys: list[str] | N
     return own.join(months.select(*keys, "month"), [*keys, "month"], "left_semi").select(*keys, "quantile", "month", "ret")
 
 
+def monthly_table(quantiles: DataFrame, months: DataFrame, n: int = 5) -> DataFrame:
+    """One row a month: Q1..Qn (null where a group had no day), then ls, ls_net, turnover, n_long, n_short. quantiles:
+    quantile_months(), months: to_monthly()."""
+    wide = quantiles.groupBy("month").pivot("quantile", list(range(1, n + 1))).agg(F.first("ret"))
+    named = wide.select("month", *[F.col(f"`{k}`").alias(f"Q{k}") for k in range(1, n + 1)])
+    return months.join(named, "month", "left").select("month", *[f"Q{k}" for k in range(1, n + 1)], "ls", "ls_net", "turnover", "n_long", "n_short")
+
+
 def between(months: DataFrame, start: str | None = None, end: str | None = None, column: str = "month") -> DataFrame:
     """The rows from one date to another, both included; None is open."""
     keep = F.lit(True)

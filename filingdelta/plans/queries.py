@@ -198,6 +198,13 @@ def q_quantile_months(spark, sf):
     return rounded(portfolio.quantile_months(quantiles, portfolio.to_monthly(portfolio.long_short(quantiles, 5, COST_BPS, MIN_NAMES))))
 
 
+def q_portfolio_monthly(spark, sf):
+    """One row a month: the groups, long-short gross and net, turnover, numbers of names."""
+    quantiles = materialize(quantiles_of(spark, sf), "quantiles")
+    months = portfolio.to_monthly(portfolio.long_short(quantiles, 5, COST_BPS, MIN_NAMES))
+    return rounded(portfolio.monthly_table(portfolio.quantile_months(quantiles, months), months))
+
+
 def q_monthly_factors(spark, sf):
     return rounded(factors_of(spark, sf).select("month", "mkt", "smb", "hml", "RF"))
 
@@ -439,6 +446,8 @@ def oracle_sql() -> dict[str, str]:
         "ls_daily": f"WITH {w} SELECT day, round(ls, 7) AS ls, round(ls_net, 7) AS ls_net, round(turnover, 7) AS turnover, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM ls",
         "monthly_returns": f"WITH {w} SELECT month, round(ls, 7) AS ls, round(ls_net, 7) AS ls_net, round(turnover, 7) AS turnover, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM mo",
         "quantile_months": f"WITH {w}, {months} SELECT quantile, month, round(ret, 7) AS ret FROM qm",
+        "portfolio_monthly": f"""WITH {w}, {months}, x AS (SELECT month, {", ".join(f"max(ret) FILTER (WHERE quantile = {k}) AS Q{k}" for k in range(1, 6))} FROM qm GROUP BY 1)
+            SELECT month, {rounded_sql("Q1 Q2 Q3 Q4 Q5 ls ls_net turnover", 7)}, n_long::BIGINT AS n_long, n_short::BIGINT AS n_short FROM mo LEFT JOIN x USING (month)""",
         "monthly_factors": """WITH d AS (SELECT l_shipdate::DATE AS date, (avg(l_discount) - 0.05) / 10 AS mkt, (avg(l_tax) - 0.04) / 10 AS smb, (avg(l_quantity) - 25) / 5000 AS hml, 0.0001::DOUBLE AS rf FROM lineitem GROUP BY 1)
             SELECT last_day(date) AS month, round(product(1 + mkt) - 1, 7) AS mkt, round(product(1 + smb) - 1, 7) AS smb, round(product(1 + hml) - 1, 7) AS hml, round(product(1 + rf) - 1, 7) AS "RF" FROM d GROUP BY 1""",
         "summary_stats": f"WITH {series}, {V.evaluate_sql('se', 'portfolio')} SELECT portfolio, {rounded_sql(EVALUATED, 5)} FROM ev",

@@ -145,7 +145,8 @@ class Study:
         months, table, alphas = self.portfolio()
         trials, trial_months = self.trials()
         report = overfit.report(trial_months)
-        small = {"portfolio_monthly": months, "quantile_table": table, "alphas": alphas.drop("betas"), "trials": trials, "robustness": self.robustness(), "rank_correlations": self.rank_correlations(), "event_time": self.event_time(), "placebo": self.placebo()}
+        quantiles = self.months_of("fiscal_year")[0]
+        small = {"portfolio_monthly": portfolio.monthly_table(portfolio.quantile_months(quantiles, months), months, GROUPS), "quantile_table": table, "alphas": alphas.drop("betas"), "trials": trials, "robustness": self.robustness(), "rank_correlations": self.rank_correlations(), "event_time": self.event_time(), "placebo": self.placebo()}
         for name, rows in small.items():
             sinks.write_csv(rows, f"{self.out}/csv/{name}")
         summary = self.summary(report)

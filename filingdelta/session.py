@@ -19,12 +19,15 @@ def get_session(app: str = "filingdelta", shuffle_partitions: int | None = None)
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a context, so that Python workers can import it wherever they run. Arrow
-    batches are kept small, as texts are long: both sides hold a batch at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    batches are kept small for the session, unless it was built with sizes of its own: texts are long, and both sides hold
+    a batch at a time."""
     context = spark.sparkContext
     if getattr(context, "_filingdelta_shipped", False):
         return
+    built = context.getConf()
+    for name, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))):
+        if not built.contains(name):
+            spark.conf.set(name, value)
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(prefix="filingdelta-"), "filingdelta_package.zip")
     with zipfile.ZipFile(path, "w") as out:

@@ -79,6 +79,17 @@ def test_section_texts(spark):
     assert len(found) == 9 and all(found[i, s] == "" for i in (2, 3) for s in ("full", "1A", "7"))
 
 
+def test_process_corpus(spark, tmp_path):
+    page = "<p>Item 7. Management's</p><p>" + "word " * 500 + "</p><p>Item 8. Financial Statements</p>"
+    (tmp_path / "a.htm").write_text(page)
+    index = spark.createDataFrame([("1", "0-1", "T", f"file:{tmp_path}/a.htm"), ("1", "0-2", "T", "missing.htm"), ("1", "0-3", "T", None)], "cik string, accession string, ticker string, path string")
+    sections, filed = similarity.process_corpus(index, spark.read.format("binaryFile").load(str(tmp_path)))
+    found = {r["accession"]: (r["len_full"], r["len_1A"], r["len_7"]) for r in filed.collect()}
+    full = X.clean_html(page)
+    assert found == {"0-1": (len(full), 0, len(X.section_of(full, "7"))), "0-2": (0, 0, 0)} and found["0-1"][2] > 2_000
+    assert sections.count() == 6 and sections.columns == ["cik", "accession", "section", "text"]
+
+
 def test_filings(spark):
     rows = [(1, "10-K", "2020-12-31", "2021-02-01", "a"), (1, "10-K", "2020-12-31", "2021-03-01", "b"), (1, "10-K/A", "2019-12-31", "2020-03-01", "c"), (1, "10-K", "2021-01-03", "2021-04-01", "d"), (1, "10-K", None, "2021-04-01", "e"), (1, "10-K405", "2021-12-31", "2022-02-01", "f")]
     df = spark.createDataFrame(rows, "cik long, form string, report_date string, filing_date string, accession string")

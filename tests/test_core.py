@@ -402,6 +402,41 @@ def test_clashing_names_and_empty_tables(spark):
     assert sinks.box_stats(spark.createDataFrame([(1, None)], "k int, v double"), "k", "v").count() == 0
 
 
+def test_odd_rows_of_core_operators(spark):
+    """Nulls, ties and repeated rows by value."""
+    d = dt.date
+    index = spark.createDataFrame([("x", 2010, d(2010, 12, 31), d(2011, 2, 1), "a"), ("x", 2011, d(2011, 12, 31), d(2012, 2, 1), "b"), ("x", 2011, d(2011, 12, 31), d(2012, 2, 1), "b"), ("x", 2012, None, None, "c"), (None, 2013, d(2013, 12, 31), d(2014, 2, 1), "d")], "cik string, fiscal_year int, report_date date, filing_date date, accession string")
+    assert [(r["accession"], r["prev_accession"], r["gap_days"]) for r in filings.pair_consecutive(index).collect()] == [("b", "a", 365)]
+    assert filings.pair_consecutive(index.limit(0)).count() == 0
+    forms = spark.createDataFrame([(1, "10-K", "2020-12-31", None, "b"), (1, "10-K", "2020-12-31", "2021-01-01", "a"), (1, "10-K", "2020-12-31", None, "b"), (None, "10-K", "2020-12-31", "2021-01-01", "z")], "cik long, form string, report_date string, filing_date string, accession string")
+    assert sorted((str(r["cik"]), r["accession"]) for r in filings.annual_filings(forms, 2007, 2025).collect()) == [("1", "b"), ("None", "z")]
+    calendar = spark.createDataFrame([(d(2020, 1, 1) + dt.timedelta(i), i) for i in range(70)], "date date, day int")
+    prices = spark.createDataFrame([("X", d(2020, 1, 1), 100.0), ("X", d(2020, 1, 2), None), ("X", d(2020, 1, 3), 110.0), ("X", d(2020, 1, 4), 121.0), ("Y", None, 5.0), ("X", d(2020, 2, 1), 132.0), ("X", d(2020, 3, 1), 66.0)], "ticker string, date date, price double")
+    assert [(r["ticker"], r["day"], round(r["ret"], 12)) for r in portfolio.daily_returns(prices, calendar).collect()] == [("X", 3, 0.1)]
+    assert portfolio.daily_returns(prices.limit(0), calendar).count() == 0 and portfolio.trading_calendar(prices.limit(0)).count() == 0
+    assert portfolio.trading_calendar(prices).count() == 6
+    first = diagnostics.first_day_prices(prices, calendar)
+    base = first.withColumn("price", F.lit(10.0)).select("month", "price")
+    events = spark.createDataFrame([("X", 2019, d(2019, 12, 5), 1), ("X", 2019, d(2019, 12, 5), 1), ("X", 2019, None, 1), ("Q", 2019, d(2019, 12, 5), 1), (None, 2019, d(2019, 12, 5), 1)], "ticker string, fiscal_year int, filing_date date, quantile int")
+    found = sorted((r["event_month"], round(r["ret"], 12), r["bench"], round(r["abnormal"], 12)) for r in diagnostics.event_returns(events, first, base).collect())
+    assert found == [(1, 0.32, 0.0, 0.32)] * 2 + [(2, -0.5, 0.0, -0.5)] * 2
+    rows = spark.createDataFrame([(1, "g", 0.5), (1, "g", 0.5), (2, "g", None), (3, None, 0.1), (4, None, 0.2)], "id long, fy string, s double")
+    mixed = diagnostics.shuffle_within(rows.filter("fy is not null"), "s", "fy", "id", -F.col("id"))
+    assert sorted((r["id"], r["s"]) for r in mixed.collect() if r["s"] is not None) == [(1, 0.5), (2, 0.5)] and mixed.count() == 3
+    counts = spark.createDataFrame([(1, "a", 1), (2, "a", 2)], "doc_id long, term string, tf long")
+    months = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "doc_id long, month int")
+    pairs = spark.createDataFrame([(2, 1, 2), (3, 1, 2), (9, 8, 2)], "doc_id long, prev_doc_id long, month int")
+    assert {(r["doc_id"], r["prev_doc_id"], r["cosine"] and round(r["cosine"], 12), r["jaccard"]) for r in similarity.pit_cosine(counts, months, pairs).collect()} == {(2, 1, 1.0, 1.0), (3, 1, None, 0.0)}
+    ties = similarity.top_terms(spark.createDataFrame([(1, "b", 1), (1, "a", 1), (2, "c", 1)], "doc_id long, term string, tf long"), 2)
+    assert [r["term"] for r in ties.collect()] == ["a", "b"]
+    box = sinks.box_stats(spark.createDataFrame([(1, None), (1, 2.0), (1, 2.0), (None, 1.0)], "k int, v double"), "k", "v").collect()
+    assert [(r["k"], r["q25"], r["median"], r["high"], r["n_inside"]) for r in box] == [(1, 2.0, 2.0, 2.0, 2)]
+    flat = spark.createDataFrame([("k", i, 0.0) for i in range(5)], "k string, m int, ret double")
+    r = stats.evaluate(flat, ["k"], "m").first()
+    assert (r["n_months"], r["sharpe"], r["t_mean_nw"], r["max_drawdown_pct"], r["hit_rate"]) == (5, None, None, 0.0, 0.0)
+    assert stats.evaluate(flat.limit(0), ["k"], "m").count() == 0
+
+
 def test_all_stages(spark, tmp_path):
     """The whole study over a made market: every stage's table, cached on the second run."""
     rng = np.random.default_rng(1)

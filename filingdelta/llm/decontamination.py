@@ -163,8 +163,10 @@ class Benchmark:
                     continue
                 sums = np.zeros((int(some[-1]) - base + span + 1, BITS), dtype=np.int32)
                 np.cumsum(signs(words[base : int(some[-1]) + size], k), axis=0, out=sums[1:])
-                for s, items in zip(some.tolist(), self.near(packed_prints(sums[some - base + span] - sums[some - base])), strict=True):
-                    for n in items.tolist():
+                prints, of = np.unique(packed_prints(sums[some - base + span] - sums[some - base]), axis=0, return_inverse=True)
+                near = self.near(prints)  # a text that repeats itself asks once
+                for s, k in zip(some.tolist(), of.ravel().tolist(), strict=True):
+                    for n in near[k].tolist():
                         if len(self.words[n]) == item_size:
                             asked.setdefault(n, []).append(s)
         for n, places in asked.items():

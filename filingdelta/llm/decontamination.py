@@ -165,8 +165,8 @@ class Benchmark:
                 np.cumsum(signs(words[base : int(some[-1]) + size], k), axis=0, out=sums[1:])
                 prints, of = np.unique(packed_prints(sums[some - base + span] - sums[some - base]), axis=0, return_inverse=True)
                 near = self.near(prints)  # a text that repeats itself asks once
-                for s, k in zip(some.tolist(), of.ravel().tolist(), strict=True):
-                    for n in near[k].tolist():
+                for s, row in zip(some.tolist(), of.ravel().tolist(), strict=True):
+                    for n in near[row].tolist():
                         if len(self.words[n]) == item_size:
                             asked.setdefault(n, []).append(s)
         for n, places in asked.items():

@@ -155,20 +155,19 @@ class Benchmark:
         # 2 * shared / (span + weight) >= at_least, and a window shares no more than the benchmark shingles that it has
         starts = np.flatnonzero(known[span:] - known[:-span] >= self.at_least * (span + weight) / 2 - 1e-9)
         asked: dict[int, list[int]] = {}
-        for part in np.split(starts, np.flatnonzero(np.diff(starts) >= span) + 1):  # stretches that share words
-            for a in range(0, len(part), block):
-                some = part[a : a + block]
-                base = int(some[0]) if len(some) else 0
-                if not len(some):
-                    continue
-                sums = np.zeros((int(some[-1]) - base + span + 1, BITS), dtype=np.int32)
-                np.cumsum(signs(words[base : int(some[-1]) + size], k), axis=0, out=sums[1:])
-                prints, of = np.unique(packed_prints(sums[some - base + span] - sums[some - base]), axis=0, return_inverse=True)
-                near = self.near(prints)  # a text that repeats itself asks once
-                for s, row in zip(some.tolist(), of.ravel().tolist(), strict=True):
-                    for n in near[row].tolist():
-                        if len(self.words[n]) == item_size:
-                            asked.setdefault(n, []).append(s)
+        at = 0
+        while at < len(starts):  # a stretch of the text at a time
+            base = int(starts[at])
+            some = starts[at : int(np.searchsorted(starts, base + block, "right"))]
+            at += len(some)
+            sums = np.zeros((int(some[-1]) - base + span + 1, BITS), dtype=np.int32)
+            np.cumsum(signs(words[base : int(some[-1]) + size], k), axis=0, out=sums[1:])
+            prints, of = np.unique(packed_prints(sums[some - base + span] - sums[some - base]), axis=0, return_inverse=True)
+            near = self.near(prints)  # a text that repeats itself asks once
+            for s, row in zip(some.tolist(), of.ravel().tolist(), strict=True):
+                for n in near[row].tolist():
+                    if len(self.words[n]) == item_size:
+                        asked.setdefault(n, []).append(s)
         for n, places in asked.items():
             value, s = max(zip(self.exact(n, words, places, span), (-p for p in places), strict=True))
             if value >= self.at_least - 1e-12 and (n not in best or value > best[n][0]):

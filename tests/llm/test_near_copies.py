@@ -1,6 +1,7 @@
 """The near-copy stage against exact Jaccard components of five-word shingles."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 import pytest
@@ -92,3 +93,22 @@ def test_stage_against_brute_force(spark, sf):
     want = brute(shingle_sets([t for _, t in rows]))
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()}
     assert kept == {rows[c][0] for c in want}
+
+
+def test_all_pairs_of_the_largest_table(spark):
+    """Every pair of distinct sets of five-word shingles of similarity 0.8 or more, over 10,000 raw documents, is in one group."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()}
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        if found := frozenset(simhash.shingle_set((r["text"] or "").encode(), 5).tolist()):
+            sets.setdefault(found, r["doc_id"])
+    items, owners = list(sets.items()), {}
+    for n, (s, _) in enumerate(items):
+        for x in s:
+            owners.setdefault(x, []).append(n)
+    pairs = []
+    for n, (s, i) in enumerate(items):
+        shared = Counter(m for x in s for m in owners[x] if m < n)
+        pairs += [(i, items[m][1]) for m, k in shared.items() if k >= 0.8 * (len(s) + len(items[m][0]) - k)]
+    assert len(pairs) > 40 and all(group[i] == group[j] for i, j in pairs)

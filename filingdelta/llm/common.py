@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,14 +18,25 @@ from filingdelta.storage import Scratch, delete_path, freed_shuffles, materializ
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: glibc's way to give freed memory back; None where the system has none.
+TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Objects of this worker that hold tables made for one operator; another operator's task frees them.
 HOLDERS: list = []
 
 
+def release() -> None:
+    """Give memory that this worker has freed back to the system: idle workers keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if TRIM is not None:
+        TRIM(0)
+
+
 def free_tables(but=None) -> None:
+    """Drop the tables of other operators."""
     for holder in [h for h in HOLDERS if h is not but]:
         holder.free()
         HOLDERS.remove(holder)
+    release()
 
 
 def share(spark: SparkSession, value):
@@ -55,6 +67,8 @@ def map_columns(df: DataFrame, fn: Callable[..., Iterator[tuple]] | Callable, sc
             columns = [(c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist() for c in batch.columns]
             found = body(*columns)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, out, strict=True)], schema=out)
+        body = columns = found = None
+        release()
 
     return df.mapInArrow(run, spark_schema)
 

@@ -155,6 +155,28 @@ def set_name(items: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(items.tobytes(), 42)) if len(items) else 0
 
 
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of a set of shingles, as longs: a bit is set if an odd number of the hashes fall on it. There are at least as
+    many bits as shingles, and a power of two, so that a sketch folds to half its size by one exclusive or."""
+    bits = 64 << max(0, (len(items) - 1).bit_length() - 6) if len(items) else 64
+    odd = np.bincount((items & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def may_be_similar(x: Column, y: Column, similarity: float, slack: float = 1e-9) -> Column:
+    """Whether the sizes and sketches of two sets leave them a Jaccard similarity of at least `similarity`. No such pair is
+    lost: sketches differ in at most as many bits as there are shingles that one set alone has."""
+    a, b = x["size"], y["size"]
+    n = F.least(F.size(x["sketch"]), F.size(y["sketch"]))
+
+    def folded(z: Column) -> Column:  # sizes so near to each other differ by one fold at most
+        return F.when(F.size(z) > n, F.zip_with(F.slice(z, 1, n), F.slice(z, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(z)
+
+    bits = F.zip_with(folded(x["sketch"]), folded(y["sketch"]), lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("int"))
+    apart = F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+    return (F.least(a, b) >= similarity * F.greatest(a, b) - slack) & (apart <= (1 - similarity) / (1 + similarity) * (a + b) + slack)
+
+
 def prefix(items: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set in the order of (count among the common ones, hash), as many as it cannot do without:
     a set of at least that Jaccard similarity to it has at least ceil(similarity * size) of its shingles, so the first
@@ -169,42 +191,60 @@ def prefix(items: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity
     return items[np.lexsort((items, rank))[:length]].view(np.int64)
 
 
-def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, at_most: int = 200_000, tasks: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of about `sample` documents, sorted, and their counts. They only set an order that
-    keeps what many texts share out of the prefixes; no result depends on them. The sample is counted by a few tasks,
-    which pass on what they have met more than once."""
-    part = docs.select("text").sample(min(1.0, sample / max(1, docs.count())), 42).repartition(tasks)
+def common_shingles(docs: DataFrame, words: int, sample: int = 20_000, part: float = 0.08, at_most: int = 1_000_000, docs_per_task: int = 5_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of `sample` documents or so, or of that part of them where it is more, sorted, and their
+    counts. They only set an order that keeps what many texts share out of the prefixes; no result depends on them. The
+    sample grows with the documents, since the texts that hold a shingle by chance do."""
+    n = max(1, docs.count())
+    size = min(n, max(sample, int(part * n)))
+    drawn = docs.select("text").sample(min(1.0, size / n), 42).repartition(max(4, -(-size // docs_per_task)))
 
     def run(batches):
         held, size = [], 0
 
         def counted():
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
+            for at in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000])], names=["h", "n"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 held.append(shingle_set(text, words))
                 size += len(held[-1])
-                if size > 8_000_000:
-                    yield counted()
+                if size > 2_000_000:
+                    yield from counted()
                     held, size = [], 0
         if held:
-            yield counted()
+            yield from counted()
 
     ship(docs.sparkSession)
-    found = part.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(at_most).toArrow()
+    found = drawn.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(at_most).toArrow()
     common, counts = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
     order = np.argsort(common)
     return common[order], counts[order]
 
 
 class Judge:
-    """Exact similarities of pairs of the distinct texts of docs. Every text that a pair asks for is read once, packed, and
-    kept under its name until the block of `tmp` ends."""
+    """Exact similarities of pairs of the distinct texts of docs. `sketches` has a row (fp, size, sketch) for each. Every text
+    that a pair asks for is read once, packed, and kept under its name until the block of `tmp` ends."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, sketches: DataFrame, words: int, similarity: float, tmp: Scratch, broadcast_rows: int = 2_000_000):
+        self.docs, self.nodes, self.sketches, self.words, self.similarity = docs, nodes, sketches, words, similarity
+        self.tmp, self.broadcast_rows, self.calls = tmp, broadcast_rows, 0
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, words: int, tmp: Scratch, broadcast_rows: int = 2_000_000):
-        self.docs, self.nodes, self.words, self.tmp, self.broadcast_rows, self.calls = docs, nodes, words, tmp, broadcast_rows, 0
+    def beside(self, pairs: DataFrame, made: DataFrame, per_copy: int = 256) -> DataFrame:
+        """Rows (a, b, x, y): x and y are the rows of `made`, which has a column fp, of each of pairs (a, b). A row that many
+        pairs ask for as a is copied, so that no task gets all of them."""
+        wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
+        copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
+        copies = small(copies, self.broadcast_rows)
+        dealt = pairs.join(copies, F.col("a") == F.col("many"), "left")
+        dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
+        packed = made.select("fp", F.struct(*[c for c in made.columns if c != "fp"]).alias("own"))
+        first = packed.join(copies, F.col("fp") == F.col("many"), "left")
+        first = first.select(F.col("fp").alias("fa"), F.col("own").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
+        second = packed.select(F.col("fp").alias("fb"), F.col("own").alias("y"))
+        return dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb")).select("a", "b", "x", "y")
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """Rows (fp, text), text packed, of the nodes in pairs. The ids that choose the documents are sent to all executors
@@ -234,20 +274,15 @@ class Judge:
         found = map_columns(texts, named_texts, "fp long, text binary").join(small(asked.select("fp"), self.broadcast_rows), "fp", "left_semi")
         return self.tmp.keep(found.dropDuplicates(["fp"]), f"texts-{self.calls}")
 
-    def similarities(self, pairs: DataFrame, per_copy: int = 256) -> DataFrame:
-        """Rows (a, b, similarity): the exact Jaccard similarity of the shingle sets of each of pairs (a, b). A text that
-        many pairs ask for as a is copied, so that no task gets all of them."""
+    def links(self, pairs: DataFrame, sketched: bool = False, slack: float = 1e-9) -> DataFrame:
+        """Those of pairs (a, b) whose sets of shingles have an exact Jaccard similarity of at least self.similarity. Texts
+        are joined only for pairs that the sketches leave; `sketched` says that these are such already."""
         self.calls += 1
-        words, made = self.words, self.texts(pairs)
-        wanted = pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > per_copy)
-        copies = wanted.select(F.col("a").alias("many"), F.ceil(F.col("n") / per_copy).cast("int").alias("copies")).checkpoint()
-        copies = small(copies, self.broadcast_rows)
-        dealt = pairs.join(copies, F.col("a") == F.col("many"), "left")
-        dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int").alias("copy"))
-        first = made.join(copies, F.col("fp") == F.col("many"), "left")
-        first = first.select(F.col("fp").alias("fa"), F.col("text").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("ca"))
-        second = made.select(F.col("fp").alias("fb"), F.col("text").alias("y"))
-        joined = dealt.join(first, (F.col("a") == F.col("fa")) & (F.col("copy") == F.col("ca"))).join(second, F.col("b") == F.col("fb"))
+        words = self.words
+        if not sketched:
+            left = self.beside(pairs, self.sketches).filter(may_be_similar(F.col("x"), F.col("y"), self.similarity))
+            pairs = self.tmp.keep(left.select("a", "b"), f"left-{self.calls}")
+        joined = self.beside(pairs, self.texts(pairs)).select("a", "b", F.col("x.text").alias("x"), F.col("y.text").alias("y"))
 
         def judge():
             open_up = zstandard.ZstdDecompressor()
@@ -262,9 +297,9 @@ class Judge:
 
             return body
 
-        found = self.tmp.keep(map_columns(joined.select("a", "b", "x", "y"), judge, "a long, b long, similarity double"), f"judged-{self.calls}")
-        self.tmp.drop(f"texts-{self.calls}", f"asked-{self.calls}")
-        return found
+        found = self.tmp.keep(map_columns(joined, judge, "a long, b long, similarity double"), f"judged-{self.calls}")
+        self.tmp.drop(f"texts-{self.calls}", f"asked-{self.calls}", *([] if sketched else [f"left-{self.calls}"]))
+        return found.filter(F.col("similarity") >= self.similarity - slack).select("a", "b")
 
 
 def similar_links(entries: DataFrame, judge: Judge, similarity: float, tmp: Scratch, bucket_limit: int = 32) -> DataFrame:
@@ -274,8 +309,7 @@ def similar_links(entries: DataFrame, judge: Judge, similarity: float, tmp: Scra
     Two sets that similar share a shingle of their prefixes. At the first one in order, what follows must suffice for the
     overlap; sizes must allow it too. All pairs of a bucket that pass are compared, but a bucket of more than bucket_limit
     sets is first compared with one of its members, its hub. Those similar to the hub are one component already, so no two
-    of them are compared; of the other pairs those are that the triangle inequality of the Jaccard distance, taken at the
-    hub, leaves."""
+    of them are compared; the other pairs meet with their sketches, and only those that these leave are written."""
     slack = 1e-9
     whole = similarity / (1 + similarity)
     buckets = entries.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("pos", "fp"))["fp"].alias("hub"), F.min("size").alias("least")).filter("n > 1")
@@ -293,21 +327,20 @@ def similar_links(entries: DataFrame, judge: Judge, similarity: float, tmp: Scra
     crowded = shared.filter(F.col("n") > bucket_limit)
     stars = crowded.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b"))
     pairs = few.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).union(stars).distinct()
-    found = judge.similarities(tmp.keep(pairs, "pairs"))
-    edges = found.filter(F.col("similarity") >= similarity - slack).select("a", "b")
+    edges = judge.links(tmp.keep(pairs, "pairs"))
     if crowded.isEmpty():
         return edges
-    to_hub = found.select(F.col("a").alias("hub"), F.col("b").alias("fp"), (1 - F.col("similarity")).alias("far"))
-    member = crowded.filter("fp <> hub").join(to_hub, ["hub", "fp"])
-    member = tmp.keep(member.select("key", "fp", "size", "pos", "far", (F.col("far") <= 1 - similarity + slack).alias("linked")), "members")
-    x, y = F.struct(F.col("x.size"), F.col("x.pos")), F.struct(F.col("y.size"), F.col("y.pos"))
-    near = (F.col("x.key") == F.col("y.key")) & may(x, y) & (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - similarity + slack)
+    to_hub = edges.select(F.col("a").alias("hub"), F.col("b").alias("fp"), F.lit(True).alias("linked"))
+    member = crowded.filter("fp <> hub").join(to_hub, ["hub", "fp"], "left").select("key", "fp", "pos", F.coalesce("linked", F.lit(False)).alias("linked"))
+    member = tmp.keep(member.join(judge.sketches, "fp"), "members")
+    x, y = (F.struct(*[F.col(f"{side}.{c}") for c in ("size", "pos", "sketch")]) for side in "xy")
+    near = (F.col("x.key") == F.col("y.key")) & may(x, y) & may_be_similar(x, y, similarity)
     alone = member.filter(~F.col("linked")).alias("x")
     more = alone.join(member.alias("y"), near & (F.col("y.linked") | (F.col("x.fp") < F.col("y.fp")))).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
     more = tmp.keep(more.distinct(), "more-pairs")
     if more.isEmpty():
         return edges
-    return edges.union(judge.similarities(more).filter(F.col("similarity") >= similarity - slack).select("a", "b"))
+    return edges.union(judge.links(more, sketched=True))
 
 
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket_limit: int = 32) -> DataFrame:
@@ -331,21 +364,22 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, bucket
                 keys.append(None if name in seen else prefix(items, common, counts, similarity))
                 if len(seen) < 1_000_000:
                     seen.add(name)
-            return [ids, names, [len(s) for s in sets], keys]
+            return [ids, names, [len(s) for s in sets], keys, [None if k is None else sketch(s) for s, k in zip(sets, keys, strict=True)]]
 
         return body
 
     with Scratch(spark) as tmp:
-        made = tmp.keep(map_columns(docs.select("doc_id", "text"), maker, "doc_id long, fp long, size int, keys array<long>"), "prefixes")
+        made = tmp.keep(map_columns(docs.select("doc_id", "text"), maker, "doc_id long, fp long, size int, keys array<long>, sketch array<long>"), "prefixes")
         rows = materialize(made.select("doc_id", "fp"), "names")
         nodes = tmp.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+        sketches = tmp.keep(made.filter("keys is not null").select("fp", "size", "sketch").dropDuplicates(["fp"]), "sketches")
         entries = made.filter("keys is not null").select("fp", "size", F.posexplode("keys").alias("pos", "key"))
         often = tmp.keep(entries.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key"), "often")
         held = tmp.keep(entries.hint("merge").join(often, "key", "left_semi"), "held")
         tmp.drop("prefixes", "often")
         entries = tmp.keep(held.dropDuplicates(["key", "fp"]), "entries")
         tmp.drop("held")
-        edges = similar_links(entries, Judge(docs, nodes, words, tmp), similarity, tmp, bucket_limit)
+        edges = similar_links(entries, Judge(docs, nodes, sketches, words, similarity, tmp), similarity, tmp, bucket_limit)
         return named(rows, grouped(nodes, components(edges)))
 
 

@@ -112,3 +112,43 @@ def test_all_pairs_of_the_largest_table(spark):
         shared = Counter(m for x in s for m in owners[x] if m < n)
         pairs += [(i, items[m][1]) for m, k in shared.items() if k >= 0.8 * (len(s) + len(items[m][0]) - k)]
     assert len(pairs) > 40 and all(group[i] == group[j] for i, j in pairs)
+
+
+def test_texts_are_joined_for_near_pairs_only(spark, monkeypatch):
+    """Texts that share a frequent phrase by chance make a crowded bucket; their sketches keep them apart, pair by pair."""
+    rng = random.Random(9)
+    none = simhash.np.zeros(0, dtype=simhash.np.uint64)
+    monkeypatch.setattr(simhash, "common_shingles", lambda *_: (none, none.astype(int)))
+    judged, keep = [], simhash.Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        if name.startswith("judged"):
+            judged.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash.Scratch, "keep", counted)
+    phrases = [drawn(rng, 5) for _ in range(4)]
+    texts = [drawn(rng, 30) + [w for p in phrases for w in p] for _ in range(120)]
+    texts += [edited(rng, drawn(rng, 60) + phrases[0], 1) for _ in range(3)]
+    texts += [[*texts[0], "end"]]
+    found, want = found_and_wanted(spark, texts)
+    assert found == want and want[-1] == 0
+    assert 1 <= sum(judged) < 20
+
+
+def test_sketches_lose_no_pair(spark):
+    rng = random.Random(10)
+    rows, want = [], []
+    for n in (1, 5, 60, 64, 65, 300, 2_000):
+        for share in (0.5, 0.7, 0.8, 0.85, 0.95, 1.0):
+            whole = [rng.getrandbits(64) for _ in range(2 * n)]
+            both = round(2 * n * share / (1 + share))
+            half = (2 * n - both) // 2
+            a, b = (simhash.np.unique(simhash.np.array(x, dtype=simhash.np.uint64)) for x in (whole[: both + half] or whole[:1], whole[:both] + whole[both + half :] or whole[:1]))
+            shared = len(simhash.np.intersect1d(a, b))
+            want.append(shared / (len(a) + len(b) - shared))
+            rows.append((len(want) - 1, *({"size": len(s), "sketch": simhash.sketch(s).tolist()} for s in (a, b))))
+    pairs = spark.createDataFrame(rows, "i int, x struct<size:int,sketch:array<long>>, y struct<size:int,sketch:array<long>>")
+    left = {r["i"] for r in pairs.filter(simhash.may_be_similar(pairs["x"], pairs["y"], 0.8)).collect()}
+    assert {i for i, s in enumerate(want) if s >= 0.8} <= left and not {i for i, s in enumerate(want) if s < 0.6 and rows[i][1]["size"] > 200} & left

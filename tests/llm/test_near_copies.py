@@ -152,3 +152,28 @@ def test_sketches_lose_no_pair(spark):
     pairs = spark.createDataFrame(rows, "i int, x struct<size:int,sketch:array<long>>, y struct<size:int,sketch:array<long>>")
     left = {r["i"] for r in pairs.filter(simhash.may_be_similar(pairs["x"], pairs["y"], 0.8)).collect()}
     assert {i for i, s in enumerate(want) if s >= 0.8} <= left and not {i for i, s in enumerate(want) if s < 0.6 and rows[i][1]["size"] > 200} & left
+
+
+def test_multi_index_finds_near_fingerprints(spark, monkeypatch):
+    """Without the join by shingles, the pairs within four bits whose texts are similar are joined, and no others."""
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "similar_links", lambda *_, **__: spark.createDataFrame([], "a long, b long"))
+    texts = []
+    for i in range(60):
+        base = drawn(rng, 300)
+        texts += [base, base[: 300 - i % 6], edited(rng, base, 1 + i % 4)]
+    texts += [["one", "two"], ["two", "one"], [], []]
+    sets = shingle_sets([" ".join(t) for t in texts])
+    sims = [simhash.majority(simhash.shingle_set(" ".join(t).encode(), 5)) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if bin((sims[i] ^ sims[j]) & (1 << 64) - 1).count("1") <= 4 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    found, _ = found_and_wanted(spark, texts)
+    assert found == [top(i) for i in range(len(texts))] and sum(top(i) != i for i in range(len(texts))) > 40

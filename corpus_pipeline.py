@@ -27,7 +27,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: links are pairs whose five-word shingles have a Jaccard of 0.8 or more.
+    """One document of each group of near copies: links are pairs whose five-word shingles have a Jaccard of 0.8 or more. The
+    multi-index over SimHashes finds those near to each other, a join by shingles those further apart.
     The smallest doc_id stays; blank texts are copies of each other; rows without a doc_id stay; of repeated rows one does."""
     return simhash.drop_near_duplicates(docs, words=5, similarity=0.8)
 

@@ -60,19 +60,31 @@ def runs_from(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
-#: Odd factors of the byte places of a hash.
-FACTORS = np.random.default_rng(42).integers(1, 1 << 63, 4 * SHORT, dtype=np.uint64) | np.uint64(1)
+#: An odd base, whose powers have inverses modulo 2^64.
+BASE = 0x5851F42D4C957F2D
+
+
+def powers_of(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+#: Powers by byte place of a block of strings, and their inverses; longer blocks make their own.
+POWERS, INVERSES = powers_of(BASE, 1 << 18), powers_of(pow(BASE, -1, 1 << 64), 1 << 18)
 
 
 def hashes_of(data: np.ndarray, ends: np.ndarray, block: int = 20_000) -> np.ndarray:
-    """A 64-bit hash of each string, none of them empty; strings beyond the factors' number may share one. Blocks of
-    strings are taken one by one, as a byte takes many in between."""
+    """A 64-bit hash of each string: a polynomial of its bytes, as a difference of sums over its block, taken back to place 0.
+    Blocks of strings are taken one by one, as a byte takes many in between."""
     out = np.empty(len(ends) - 1, dtype=np.uint64)
     for at in range(0, len(out), block):
-        own = ends[at : at + block + 1]
-        sizes = np.diff(own)
-        place = np.minimum(runs_from(np.zeros(len(sizes), dtype=np.int64), sizes), len(FACTORS) - 1)
-        out[at : at + block] = np.add.reduceat((data[own[0] : own[-1]].astype(np.uint64) + np.uint64(1)) * FACTORS[place], own[:-1] - own[0])
+        own = ends[at : at + block + 1] - ends[at]
+        n = int(own[-1]) + 1
+        up, down = (POWERS, INVERSES) if n <= len(POWERS) else (powers_of(BASE, n), powers_of(pow(BASE, -1, 1 << 64), n))
+        sums = np.zeros(n, dtype=np.uint64)
+        np.cumsum((data[ends[at] : ends[at] + n - 1].astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=sums[1:])
+        out[at : at + block] = (sums[own[1:]] - sums[own[:-1]]) * down[own[:-1]]
     h = (out ^ (out >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
@@ -114,7 +126,6 @@ class Known:
         if not len(names) or not len(self.chunks):
             return out
         data, ends = bytes_of(names)
-        own, own_ends = self.own_bytes
         hashes, order, tops = self.sorted
         asked = hashes_of(data, ends)
         beginning = (asked >> np.uint64(64 - self.TOP)).astype(np.int64)
@@ -127,12 +138,9 @@ class Known:
             at[active] += 1
             active = active[at[active] < last[active]]
         found = np.flatnonzero(out >= 0)
-        sizes, own_sizes = np.diff(ends)[found], np.diff(own_ends)[out[found]]
-        out[found[sizes != own_sizes]] = -1
-        found, sizes = found[sizes == own_sizes], sizes[sizes == own_sizes]
         if len(found):
-            same = data[runs_from(ends[found], sizes)] == own[runs_from(own_ends[out[found]], sizes)]
-            out[found[~np.logical_and.reduceat(same, np.cumsum(sizes) - sizes)]] = -1
+            same = pc.equal(names.take(pa.array(found)), self.chunks.take(pa.array(out[found])))
+            out[found[~same.to_numpy(zero_copy_only=False)]] = -1
         return out
 
     @cached_property
@@ -293,6 +301,8 @@ class Cutter:
         for a, b in pieces.joined:
             self.stays[self.number[ord(a)], self.number[ord(b)]] = True
         self.stays[0, :] = self.stays[:, 0] = False
+        self.columns = self.number.astype(np.int32)
+        self.rows = self.columns * len(self.stays)
         self.joined, self.block = pieces.joined, block
 
     def cut(self, texts: list[str]) -> list[list[str]]:
@@ -328,13 +338,14 @@ class Cutter:
         if whole.count(self.DOC) >= len(texts):
             return None
         codes = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
-        numbers = self.number[codes]
-        cuts = np.flatnonzero(~self.stays[numbers[:-1], numbers[1:]])
-        bytes_of = (codes >= 0x80).view(np.uint8) + (codes >= 0x800) + (codes >= 0x10000)
-        ends = np.cumsum(bytes_of, dtype=np.int32)
-        ends += np.arange(1, len(ends) + 1, dtype=np.int32)
-        offsets = np.concatenate(([0], ends[cuts], ends[-1:])).astype(np.int32)
-        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(whole.encode()))
+        pairs = self.rows.take(codes[:-1])
+        pairs += self.columns.take(codes[1:])
+        cuts = np.flatnonzero(~self.stays.reshape(-1).take(pairs)) + 1
+        data = whole.encode()
+        if len(data) > len(codes):
+            cuts = np.flatnonzero((np.frombuffer(data, dtype=np.int8) >= -64))[cuts]  # the bytes that begin a character
+        offsets = np.concatenate(([0], cuts, [len(data)])).astype(np.int32)
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data))
 
     def one(self, text: str) -> list[str]:
         whole = SPACE + text.replace(" ", SPACE)
@@ -450,8 +461,8 @@ def merge_viterbi(size: str, edges: str):
         return F.shiftright(e, 2 * STEPS).bitwiseAND(F.lit((1 << RANKS) - 1)).cast("int")
 
     def steps(e):
-        """Bits by length less one, the first character's among them."""
-        return F.shiftleft(e.bitwiseAND(F.lit((1 << STEPS) - 1)).cast("int"), 1).bitwiseOR(F.lit(1))
+        """Bits by length, the first character's among them."""
+        return F.shiftleft(e.bitwiseAND(F.lit((1 << STEPS) - 1)).cast("int"), 2).bitwiseOR(F.lit(2))
 
     def bound(value, then):
         """then(value), value being worked out once."""
@@ -466,24 +477,24 @@ def merge_viterbi(size: str, edges: str):
 
     def stands(own, a, b):
         """Whether BPE leaves the edges a and b apart."""
-        known = F.struct((end(b) - length(b)).alias("at"), a.alias("left"), b.alias("right"), steps(a).alias("a"), steps(F.shiftright(b, STEPS)).alias("b"))
+        at = end(b) - length(b)
+        known = F.struct(at.alias("at"), F.shiftleft(at.cast("long"), head).alias("joint"), a.alias("left"), b.alias("right"), steps(a).alias("a"), steps(F.shiftright(b, STEPS)).alias("b"))
 
         def merged(k, c, x, y):
-            ends_a = going_on(own, k["left"], F.call_function("shiftright", k["a"], x), x, lambda n: k["at"])
-            ends_b = going_on(own, k["right"], F.call_function("shiftright", k["b"], y), y, lambda n: k["at"] + n)
-            meets = (F.call_function("getbit", k["b"], y - 1) == 1) & (F.call_function("getbit", k["a"], x - 1) == 1)
-            return meets & (rank(c) < ends_a) & (rank(c) <= ends_b)
+            ends_a = going_on(own, k["left"], F.call_function("shiftright", k["a"], x + 1), x, lambda n: k["at"])
+            ends_b = going_on(own, k["right"], F.call_function("shiftright", k["b"], y + 1), y, lambda n: k["at"] + n)
+            return (F.call_function("getbit", k["a"], x) == 1) & (rank(c) <= ends_b) & (rank(c) < ends_a)
 
         def across(k, c):
-            parts = F.struct((end(c) - k["at"]).alias("y"), length(c).alias("xy"))
-            return (F.shiftright(c, head).bitwiseAND(F.lit(63)) == k["at"]) & bound(parts, lambda p: merged(k, c, p["xy"] - p["y"], p["y"]))
+            y = end(c) - k["at"]  # most edges fail one of the first two tests, so the cheaper ones come first
+            return (c.bitwiseAND(F.lit(63 << head)) == k["joint"]) & (F.call_function("getbit", k["b"], y) == 1) & merged(k, c, length(c) - y, y)
 
         return bound(known, lambda k: ~F.exists(own["edges"], lambda c: across(k, c)))
 
     def place(own, kept, e):
         """Places are kept in order: e is looked at if its end is the next one."""
         fits = (length(e) == 1) | (length(e) == end(e)) | stands(own, F.get(kept, end(e) - length(e)), e)
-        return F.when(F.size(kept) == end(e), F.when(fits, F.concat(kept, F.array(e))).otherwise(kept)).otherwise(kept)
+        return F.when((F.size(kept) == end(e)) & fits, F.concat(kept, F.array(e))).otherwise(kept)
 
     characters = F.transform(F.sequence(F.lit(1), F.col(size)), lambda i: F.call_function("shiftleft", F.call_function("shiftleft", i.cast("long"), F.lit(4)).bitwiseOR(F.lit(WIDEST - 1)), F.lit(head + 6)))
     own = F.struct(F.col(edges).alias("edges"), F.transform(edges, lambda e: F.shiftright(e, head + 6).cast("int")).alias("places"), F.sort_array(F.concat(edges, characters)).alias("all"))

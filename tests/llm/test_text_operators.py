@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -552,3 +553,11 @@ def test_encoding_noncharacters(spark):
     for size in (1_000, 1):
         found = {r["doc_id"]: np.frombuffer(r["ids"], "<u2").tolist() for r in sentencepiece_lattice.encode(docs, MODEL, dictionary_size=size).collect()}
         assert found == {i: sp.encode(t) if t else [] for i, t in rows}
+
+
+def test_hashes_of_long_chunks_differ():
+    """Chunks that differ beyond any fixed number of bytes are told apart, wherever they stand in a block."""
+    chunks = pa.array(["x", "é" * 300 + "a", "é" * 300 + "b", "é" * 200_000, *(f"w{i}" for i in range(30_000)), "é" * 300 + "a", "é" * 200_000], pa.string())
+    found = sentencepiece_lattice.hashes_of(*sentencepiece_lattice.bytes_of(chunks)).tolist()
+    assert found[1] != found[2] and found[1] == found[-2] and found[3] == found[-1]
+    assert len(set(found)) == len(set(chunks.to_pylist()))

@@ -19,13 +19,15 @@ def balanced_group(rank: Column, size: Column, n: Column | int) -> Column:
     return (F.size(over) + 1).cast("int")
 
 
-def ranked_in(scored: DataFrame, score: str, cohort: list[str], tie: list[str], block_rows: int = 1_000_000, blocks: int = 64) -> DataFrame:
+def ranked_in(scored: DataFrame, score: str, cohort: list[str], tie: list[str], block_rows: int = 1_000_000, blocks: int = 64, largest: int | None = None) -> DataFrame:
     """Rows (row, r, n): the whole row, its place by score and tie in its cohort, and the cohort's size; null scores go.
 
     Cohorts of more than block_rows rows are cut by score into about `blocks` parts that are ranked apart, a part's ranks
-    starting after the rows of the parts below it; rows of equal scores are in one part."""
+    starting after the rows of the parts below it; rows of equal scores are in one part. largest: the rows of the largest
+    cohort, where they are known; else they are counted."""
     base = scored.filter(F.col(score).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in scored.columns]).alias("row"), F.struct(*cohort).alias("g"), F.col(score).alias("s"), F.struct(*tie).alias("t"))
-    largest = base.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    if largest is None:
+        largest = base.groupBy("g").count().agg(F.max("count")).first()[0] or 0
     if largest <= block_rows:
         w = Window.partitionBy("g")
         return base.select("row", F.row_number().over(w.orderBy("s", "t")).alias("r"), F.count("*").over(w).alias("n"))
@@ -39,11 +41,11 @@ def ranked_in(scored: DataFrame, score: str, cohort: list[str], tie: list[str],
     return placed.join(F.broadcast(below), ["g", "block"]).select("row", r.cast("int").alias("r"), "n")
 
 
-def rank_cohort(scored: DataFrame, score: str, n: int | list[int] = 5, cohort: str | list[str] = "fiscal_year", tie: str = "ticker", min_cohort: int | None = None, block_rows: int = 1_000_000) -> DataFrame:
+def rank_cohort(scored: DataFrame, score: str, n: int | list[int] = 5, cohort: str | list[str] = "fiscal_year", tie: str = "ticker", min_cohort: int | None = None, block_rows: int = 1_000_000, largest: int | None = None) -> DataFrame:
     """Adds quantile, the group within each cohort; null scores and cohorts under min_cohort (2n) go. Equal scores go by
     tie. With a list of n, every row is ranked once and grouped for each, which the column n_groups names."""
     many = n if isinstance(n, list) else [n]
-    ranked = ranked_in(scored, score, [cohort] if isinstance(cohort, str) else cohort, [tie], block_rows)
+    ranked = ranked_in(scored, score, [cohort] if isinstance(cohort, str) else cohort, [tie], block_rows, largest=largest)
     ranked = ranked.select("row", "r", "n", F.explode(F.array(*map(F.lit, many))).alias("k"))
     ranked = ranked.filter(F.col("n") >= (F.lit(min_cohort) if min_cohort else 2 * F.col("k")))
     grouped = ranked.select("row", balanced_group(F.col("r"), F.col("n"), F.col("k")).alias("group_of"), "k")

@@ -18,11 +18,14 @@ def variant_months(scored: DataFrame, returns: DataFrame, calendar: DataFrame, s
     each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in scores or SCORES])
     long = scored.select("ticker", "fiscal_year", "filing_date", F.explode(each).alias("x")).select("ticker", "fiscal_year", "filing_date", "x.name", "x.value")
     top = ranking.rank_cohort(long, "value", list(groups), ["name", "fiscal_year"]).filter("quantile = 1 or quantile = n_groups")
+    # a variant is its place among these names until its months are made
+    named = [f"{c}|q{k}|lag{lag}" for c in scores or SCORES for k in groups for lag in lags]
     lagged = top.withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
-    variant = F.format_string("%s|q%d|lag%d", "name", "n_groups", "lag")
-    positions = portfolio.build_positions(lagged.withColumns({"variant": variant, "quantile": F.when(F.col("quantile") == 1, 1).otherwise(2)}), calendar, F.col("lag"))
-    quantiles = portfolio.quantile_returns(portfolio.held_days(positions, returns, calendar, ["variant"]), calendar, ["variant"])
-    return portfolio.to_monthly(portfolio.long_short(quantiles, 2, cost_bps, min_names, ["variant"]), ["variant"])
+    place = F.array_position(F.array(*map(F.lit, named)), F.format_string("%s|q%d|lag%d", "name", "n_groups", "lag")).cast("int")
+    positions = portfolio.build_positions(lagged.select("ticker", "filing_date", "lag", place.alias("variant"), F.when(F.col("quantile") == 1, 1).otherwise(2).alias("quantile")), calendar, F.col("lag"))
+    quantiles = portfolio.quantile_turns(portfolio.held_sums(positions, returns, calendar, ["variant"]), calendar, ["variant"])
+    months = portfolio.to_monthly(portfolio.long_short(quantiles, 2, cost_bps, min_names, ["variant"]), ["variant"])
+    return months.withColumn("variant", F.element_at(F.array(*map(F.lit, named)), F.col("variant")))
 
 
 def placebo_months(scored: DataFrame, score: str, id_col: str, returns: DataFrame, calendar: DataFrame, draws: int = 200, n: int = 5, key: Column | None = None, min_names: int = 5) -> DataFrame:
@@ -30,6 +33,8 @@ def placebo_months(scored: DataFrame, score: str, id_col: str, returns: DataFram
     scores that are dealt out and may use the column draw; by default a hash of draw and id."""
     dealt = scored.select(id_col, "ticker", "fiscal_year", "filing_date", score, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     mixed = diagnostics.shuffle_within(dealt.filter(F.col(score).isNotNull()), score, ["draw", "fiscal_year"], id_col, F.xxhash64("draw", id_col) if key is None else key)
-    top = ranking.rank_cohort(mixed, score, n, ["draw", "fiscal_year"]).filter((F.col("quantile") == 1) | (F.col("quantile") == n))
-    held = portfolio.held_days(portfolio.build_positions(top, calendar), returns, calendar, ["draw"])
-    return portfolio.to_monthly(portfolio.long_short(portfolio.quantile_returns(held, calendar, ["draw"]), n, 0.0, min_names, ["draw"]), ["draw"])
+    # a cohort has as many rows in every draw
+    largest = scored.filter(F.col(score).isNotNull()).groupBy("fiscal_year").count().agg(F.max("count")).first()[0] or 0
+    top = ranking.rank_cohort(mixed, score, n, ["draw", "fiscal_year"], largest=largest).filter((F.col("quantile") == 1) | (F.col("quantile") == n))
+    sums = portfolio.held_sums(portfolio.build_positions(top.select("ticker", "filing_date", "draw", "quantile"), calendar), returns, calendar, ["draw"])
+    return portfolio.to_monthly(portfolio.long_short(portfolio.quantile_turns(sums, calendar, ["draw"]), n, 0.0, min_names, ["draw"]), ["draw"])

@@ -98,7 +98,7 @@ def held_days(positions: DataFrame, returns: DataFrame, calendar: DataFrame, key
     group = [*(keys or []), "quantile", "ticker"]
     spans = held_spans(positions, calendar, group)
     days = spans.select(*group, F.explode(F.sequence(F.col("entry_day") + 1, F.col("to_day"))).alias("day"))
-    held = days.join(returns.filter("ret is not null").select("ticker", "day", "ret"), ["ticker", "day"])
+    held = days.hint("merge").join(returns.filter("ret is not null").select("ticker", "day", "ret"), ["ticker", "day"])
     return held.select(*group, "day", "ret", F.coalesce(F.lag("day").over(Window.partitionBy(*group).orderBy("day")) == F.col("day") - 1, F.lit(False)).alias("stays"))
 
 
@@ -121,7 +121,8 @@ def held_sums(positions: DataFrame, returns: DataFrame, calendar: DataFrame, key
     spans = spans.select(*group, "ticker", "a", "b", blocks("a", "b"))
     moved = returns.select("ticker", "from_day", "to_day", "ret", blocks("from_day", "to_day"))
     start = F.greatest("a", "from_day")
-    met = spans.join(moved, ["ticker", "block"]).filter((F.col("from_day") <= F.col("b")) & (F.col("to_day") >= F.col("a")) & (F.col("block") == block(start)))
+    # the sizes that Spark expects are those before the explodes: nothing here is to be broadcast for them
+    met = spans.hint("merge").join(moved, ["ticker", "block"]).filter((F.col("from_day") <= F.col("b")) & (F.col("to_day") >= F.col("a")) & (F.col("block") == block(start)))
     end = F.when(F.col("ret").isNull(), F.least("b", "to_day"))
     sums = met.select(*group, start.alias("day"), end.alias("end"), "ret").groupBy(*group, "day", "end").agg(F.sum("ret").alias("r"), F.count("*").alias("c"))
 

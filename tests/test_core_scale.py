@@ -1,12 +1,11 @@
 """What the core operators make and read, beside what they return."""
 
 import datetime as dt
-import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from filingdelta.operators import portfolio, stats
+from filingdelta.operators import diagnostics, portfolio, ranking, similarity, stats, variants
 from filingdelta.plans import queries
 from filingdelta.plans import views as V
 
@@ -63,3 +62,27 @@ def test_positions_read_filings_once(spark, tmp_path):
     assert plan.count("quantile#") and plan.count("parquet") == 1
     found = {r["ticker"]: (r["entry_day"], r["exit_day"]) for r in positions.collect()}
     assert found == {"X": (0, 12), "Z": (0, 0)}  # months without a trading day go to the next one's
+
+
+def test_dealt_groups(spark):
+    """Extreme groups of dealt scores against dealing and ranking every draw: equal scores at the edges, nulls, a small year."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"T{i * 7 % 60:02}", 2000 + (i >= 53) + (i >= 114), DAY, None if i % 17 == 3 else float(rng.integers(0, 9))) for i in range(120)]
+    scored = spark.createDataFrame(rows, "id long, ticker string, fiscal_year int, filing_date date, s double").cache()
+    key = F.col("id") * 7919 * (F.col("draw") + 3) % 101
+    groups, filings = variants.dealt_groups(scored, "s", "id", 23, 5, key, 4)
+    found = sorted((r["draw"], r["fiscal_year"], r["ticker"], r["quantile"]) for r in groups.join(filings, ["fiscal_year", "place"]).collect())
+    every = scored.filter("s is not null").crossJoin(spark.range(23).select(F.col("id").cast("int").alias("draw")))
+    mixed = diagnostics.shuffle_within(every, "s", ["draw", "fiscal_year"], "id", key)
+    wanted = ranking.rank_cohort(mixed, "s", 5, ["draw", "fiscal_year"]).filter("quantile in (1, 5)")
+    assert found == sorted((r["draw"], r["fiscal_year"], r["ticker"], r["quantile"]) for r in wanted.collect()) and len(found) > 800
+
+
+def test_exploded_days_are_not_broadcast(spark):
+    """Small tables grow when they are exploded, which Spark's sizes leave out: the joins after that are not broadcasts."""
+    calendar = spark.createDataFrame([(DAY + dt.timedelta(i), i) for i in range(90)], "date date, day int")
+    positions = spark.createDataFrame([(1, "X", 2, None)], "quantile int, ticker string, entry_day int, exit_day int")
+    returns = spark.createDataFrame([("X", 5, 0.1)], "ticker string, day int, ret double")
+    for made in (portfolio.held_sums(positions, returns, calendar), portfolio.held_days(positions, returns, calendar)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [ticker" in plan and "BroadcastHashJoin [ticker" not in plan

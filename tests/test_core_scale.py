@@ -107,3 +107,13 @@ def test_summary_with_a_year_that_does_not_vary(spark, tmp_path):
     flat = spark.createDataFrame([("a", float(i), 1.0) for i in range(25)], "fiscal_year string, x double, y double")
     assert stats.rank_correlations(flat, "x", "y").first()["rho"] is None
     assert math.isnan(stats.rank_correlations(flat, "x", "y", undefined=float("nan")).first()["rho"])
+
+
+def test_similarity_takes_every_term(spark, monkeypatch):
+    """The query cuts no vocabulary, as its SQL cuts none; the operator keeps its limit for the study."""
+    sf = "/root/testdata/sf0.001"
+    whole = similarity.compute_similarity
+    wanted = sorted(map(tuple, queries.q_similarity_sections(spark, sf).collect()))
+    # the limit of the operator at a size at which the test table passes it
+    monkeypatch.setattr(whole, "__defaults__", (whole.__defaults__[0], 50))
+    assert sorted(map(tuple, queries.q_similarity_sections(spark, sf).collect())) == wanted and len(wanted) > 100
